@@ -1,0 +1 @@
+"""Column functions. Empty: the survey lists none."""

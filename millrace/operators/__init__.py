@@ -1,0 +1 @@
+"""DataFrame operators. Empty: the survey lists none."""

@@ -1,0 +1 @@
+"""Structured Streaming operators. Empty: the survey lists none."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -50,3 +54,14 @@ def test_entry_returns_rows_and_a_stable_schema(spark):
     first, second = __spark_entry__.entry(spark), __spark_entry__.entry(spark)
     assert first.schema == second.schema
     assert first.count() > 0
+
+
+def test_entry_file_loads_by_path_from_another_directory(tmp_path):
+    path = Path(__spark_entry__.__file__).resolve()
+    code = (
+        "import importlib.util as u; "
+        f"s = u.spec_from_file_location('contract', {str(path)!r}); "
+        "m = u.module_from_spec(s); s.loader.exec_module(m); "
+        "assert m.queries() and m.oracle_sql()"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)

@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from millrace.llm import chat_grammar, decontaminate, language_id, sp_chunks, warc_chunks
+from pyspark.sql import functions as F
+
+from millrace.llm import (
+    chat_grammar,
+    decontaminate,
+    language_id,
+    sentence_spans,
+    sp_chunks,
+    suffix_tree_lm,
+    topk_impacts,
+    warc_chunks,
+)
 from millrace.sources.tables import read_table
 
 
@@ -25,10 +35,24 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_grammar.conversation_digests(formatted)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk_impacts.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return suffix_tree_lm.score_documents(suffix_tree_lm.with_folds(docs))
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sp_chunks.encode_documents(read_table(spark, sf_dir, "documents"))
     return sp_chunks.token_digests(encoded)
@@ -41,12 +65,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op3_topk": op3_topk,
     "op4_warc": op4_warc,
+    "op5_suffix_tree_lm": op5_suffix_tree_lm,
+    "op6_sentence_spans": op6_sentence_spans,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat_grammar.SQL,
+    "op3_topk": topk_impacts.SQL,
     "op4_warc": warc_chunks.SQL,
 }

@@ -1,21 +1,21 @@
 """Language-model scores by a probabilistic suffix tree (operator 5).
 
-A text is a sequence of words and one end, each of them a run of symbols (bytes) from its
-start mark to its end mark. The tree's states are contexts: the last 0 to DEPTH symbols,
-back to the word's start mark at most. A context is retained if its next symbols diverge
-from what its parent (the context without its oldest symbol) foretells: their
-log-likelihood gain must reach MIN_GAIN nats; ancestors of retained contexts stay too.
-Distributions are smoothed: a context's counts are mixed with WEIGHT times its parent's
-distribution, the root's with equal chances of all bytes. A symbol is scored in its longest
-retained suffix state. All of this adds up to a proper probability of the text.
+A text is its words, lower-cased (A-Z), with a mark before and behind each, and then an
+end; symbols are bytes. The tree's states are contexts: the last 0 to DEPTH symbols. A
+context is retained if its next symbols diverge from what its parent (the context without
+its oldest symbol) foretells: their log-likelihood gain must reach MIN_GAIN nats; ancestors
+of retained contexts stay too. Distributions are smoothed: a context's counts are mixed
+with WEIGHT times its parent's distribution, the root's with equal chances of all bytes. A
+symbol is scored in its longest retained suffix state. The product over a text's symbols is
+the model's probability of the text; the base scores are those of its words.
 
 How it runs. One scan packs the documents in blocks (compressed, written to the shared
-folder) with the distinct words of each block. Words are counted over all blocks by Spark;
-the tree's counts, divergence tests and smoothing are joins and sums over contexts. A
-distinct word is scored once; count and score go back to the blocks that hold the word,
-and each block adds up its documents. So the shuffles carry a word once per block and not
-once per occurrence, no word makes a hot key, and no document is scored outside its block.
-The tree is broadcast in parts of about PART_ROWS rows, one pass over the words each.
+folder) with the distinct words of each block and the counts of its symbols by full
+context. Words and contexts are counted over all blocks by Spark; divergence tests and
+smoothing are joins and sums over contexts. A word's count goes back to the blocks that
+hold the word, and each block adds up its documents. So the shuffles carry a word or
+context once per block and not once per occurrence, and none makes a hot key. The tree is
+broadcast in parts of about PART_ROWS rows, one pass over the blocks each.
 
 Defined results: null text counts as empty and is one end; documents with a null id are
 learnt from; repeated rows count as often as they stand; if nothing can be learnt from, all
@@ -33,21 +33,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.llm.common import WORD, held_out, lower_ascii, ship, staged
 
-DEPTH = 6
+DEPTH = 5
 MIN_GAIN = 8.0
 WEIGHT = 4.0
 #: Rows (context, symbol) of the tree that are broadcast at once: about 64 MB.
 PART_ROWS = 3_000_000
-#: Characters of text per block.
-BLOCK_CHARS = 12_000_000
-LIST_WORDS = 20_000
+#: Symbols per block, and words or contexts per row of a block's lists.
+BLOCK_BYTES = 12_000_000
+LIST_ROWS = 20_000
 
 WORDS = re.compile(WORD)
-#: Start and end mark of a word, and the end of a text as a word: none occurs in words.
-MARK, END = 0x20, "\n"
+#: The mark around words, and the end of a text: neither occurs in words.
+MARK, END = " ", "\n"
+#: Symbols handled at once; a longer text is cut, with its context carried over.
+SLICE = 1_500_000
 LOW = np.uint64(0xFFFF)
 SPREAD = 40_503
 
@@ -56,20 +59,64 @@ def words_of(text: str) -> list[str]:
     return [*WORDS.findall(lower_ascii(text)), END]
 
 
+def stream(words: list[str]) -> bytes:
+    """A text's symbols; the first mark is given, not scored."""
+    return (MARK + MARK.join(words[:-1]) + (MARK if words[1:] else "") + END).encode()
+
+
+def symbols(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every symbol: 8 * DEPTH bits of context and 8 of symbol; and its stream."""
+    group: list[tuple[int, bytes, int]] = []
+    size = 0
+    for owner, data in enumerate(streams):
+        for lo in range(0, len(data), SLICE):
+            before = min(lo, DEPTH)
+            part = data[lo - before : lo + SLICE]
+            group.append((owner, part, max(before, 1)))
+            size += len(part)
+            if size >= SLICE:
+                yield _keys(group)
+                group, size = [], 0
+    if group:
+        yield _keys(group)
+
+
+def _keys(group: list[tuple[int, bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(part) for _, part, _ in group])
+    data = np.frombuffer(b"".join(part for _, part, _ in group), np.uint8).astype(np.uint64)
+    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(place >= np.repeat([skip for _, _, skip in group], sizes))
+    owner = np.repeat([owner for owner, _, _ in group], sizes)[at]
+    place, keys = place[at], data[at]
+    for back in range(1, DEPTH + 1):
+        reach = np.flatnonzero(place >= back)
+        keys[reach] |= data[at[reach] - back] << np.uint64(8 * back)
+    return keys, owner
+
+
+def count_symbols(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    found = [np.unique(keys, return_counts=True) for keys, _ in symbols(streams)]
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(inverse, np.concatenate([n for _, n in found])).astype(np.int64)
+
+
 def _pack(kind: pa.DataType):
-    """Blocks of documents with their distinct words."""
+    """Blocks of documents with their distinct words and contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         import zstandard
 
-        names = ["block", "ids", "held_out", "texts", "words", "counts"]
-        kinds = [pa.string(), pa.list_(kind), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        names = ["block", "ids", "held_out", "texts", "words", "keys", "counts"]
+        longs = pa.list_(pa.int64())
+        kinds = [pa.string(), pa.list_(kind), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.string()), longs, longs]
         ids: list = []
         flags: list = []
-        texts: list[str] = []
-        seen: Counter = Counter()
+        streams: list[bytes] = []
+        seen: set[str] = set()
         learnt: Counter = Counter()
 
         def row(**values) -> pa.RecordBatch:
@@ -79,16 +126,18 @@ def _pack(kind: pa.DataType):
 
         def flush() -> Iterator[pa.RecordBatch]:
             block = uuid.uuid4().hex
-            # No text holds a lone surrogate, so this separator is none of theirs.
-            data = b"\xff".join(t.encode() for t in texts)
-            packed = zstandard.ZstdCompressor(level=3).compress(data)
+            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(streams))
             yield row(block=block, ids=ids, held_out=flags, texts=packed)
-            every = list(seen)
-            for lo in range(0, len(every), LIST_WORDS):
-                some = every[lo : lo + LIST_WORDS]
+            every = sorted(seen)
+            for lo in range(0, len(every), LIST_ROWS):
+                some = every[lo : lo + LIST_ROWS]
                 yield row(block=block, words=some, counts=[learnt[w] for w in some])
+            keys, n = count_symbols([t for t, held in zip(streams, flags) if not held])
+            for lo in range(0, len(keys), LIST_ROWS):
+                hi = lo + LIST_ROWS
+                yield row(block=block, keys=keys[lo:hi].astype(np.int64), counts=n[lo:hi])
 
-        chars = 0
+        size = 0
         for batch in batches:
             for key, held, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = words_of(text)
@@ -97,12 +146,12 @@ def _pack(kind: pa.DataType):
                     learnt.update(found)
                 ids.append(key)
                 flags.append(held)
-                texts.append(text)
-                chars += len(text)
-                if chars >= BLOCK_CHARS:
+                streams.append(stream(found))
+                size += len(streams[-1])
+                if size >= BLOCK_BYTES:
                     yield from flush()
-                    ids, flags, texts, chars = [], [], [], 0
-                    seen, learnt = Counter(), Counter()
+                    ids, flags, streams, size = [], [], [], 0
+                    seen, learnt = set(), Counter()
         if ids:
             yield from flush()
 
@@ -110,74 +159,29 @@ def _pack(kind: pa.DataType):
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The documents in blocks, and the distinct words of each block with their counts in
-    the documents to learn from."""
+    """Rows of three kinds, by block: the documents; some distinct words with their counts
+    in the documents to learn from; some contexts with theirs."""
     rows = docs.select("doc_id", "held_out", F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType
     schema = (
         f"block string, ids array<{kind.simpleString()}>, held_out array<boolean>, "
-        "texts binary, words array<string>, counts array<long>"
+        "texts binary, words array<string>, keys array<long>, counts array<long>"
     )
-    from pyspark.sql.pandas.types import to_arrow_type
-
     return staged(rows.mapInArrow(_pack(to_arrow_type(kind)), schema), "blocks")
 
 
-def contexts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For every symbol of the words (end marks included): 8 * DEPTH bits of context and 8
-    of symbol; and which word it is of."""
-    coded = [w.encode() for w in words]
-    sizes = np.array([len(c) + 2 for c in coded])
-    mark = bytes([MARK])
-    data = np.frombuffer(b"".join(mark + c + mark for c in coded), np.uint8).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.flatnonzero(place > 0)
-    keys = data[at].copy()
-    for back in range(1, DEPTH + 1):
-        reach = place[at] >= back
-        keys[reach] |= data[at[reach] - back] << np.uint64(8 * back)
-    return keys, word[at]
-
-
-def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held_keys, held_n, size = [], [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate(held_keys), return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate(held_n))
-
-    for batch in batches:
-        words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        keys, word = contexts(words)
-        some, inverse = np.unique(keys, return_inverse=True)
-        held_keys.append(some)
-        held_n.append(np.bincount(inverse, counts[word]))
-        size += len(some)
-        if size > 2_000_000:
-            keys, n = merged()
-            held_keys, held_n, size = [keys], [n], 0
-            if len(keys) > 1_000_000:
-                yield _counts(keys, n)
-                held_keys, held_n = [], []
-    if held_keys:
-        yield _counts(*merged())
-
-
-def _counts(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"]
+def listed(blocks: DataFrame, column: str, name: str) -> DataFrame:
+    """(block, name, n) of the words or contexts of all blocks."""
+    rows = blocks.filter(F.col(column).isNotNull()).select(
+        "block", F.explode(F.arrays_zip(column, "counts")).alias("x")
     )
+    return rows.select("block", F.col(f"x.{column}").alias(name), F.col("x.counts").alias("n"))
 
 
-def grow_tree(vocabulary: DataFrame) -> DataFrame:
-    """(level, context, symbol, p, back): the retained states, from (word, n). back is what
+def grow_tree(contexts: DataFrame) -> DataFrame:
+    """(level, context, symbol, p, back): the retained states, from (key, n). back is what
     a state's unseen symbols take of its parent's distribution."""
-    seen = vocabulary.filter("n > 0").select("word", "n")
-    full = staged(
-        seen.mapInArrow(_count_contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")),
-        "contexts",
-    )
+    full = staged(contexts.groupBy("key").agg(F.sum("n").alias("n")), "contexts")
     key, symbol = F.col("key"), F.col("key").bitwiseAND(255)
     levels: list[DataFrame] = []
     for level in range(DEPTH + 1):
@@ -268,67 +272,82 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((low * np.uint64(SPREAD)) & LOW) % np.uint64(parts)
 
 
-def _score_words(shared, parts: int, part: int):
+def _score(shared, parts: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree(*shared.value)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            keys, word = contexts(words)
-            own = part_of(keys, parts) == part
-            some, inverse = np.unique(keys[own], return_inverse=True)
-            logs = np.bincount(word[own], tree.log10(some)[inverse], len(words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(logs)], names=["word", "n", "logp"]
-            )
+            for block, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                streams = unpack(texts)
+                total = np.zeros(len(streams))
+                for keys, owner in symbols(streams):
+                    if parts > 1:
+                        own = part_of(keys, parts) == part
+                        keys, owner = keys[own], owner[own]
+                    some, inverse = np.unique(keys, return_inverse=True)
+                    total += np.bincount(owner, tree.log10(some)[inverse], len(streams))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block] * len(streams)),
+                        pa.array(np.arange(len(streams))),
+                        pa.array(total),
+                    ],
+                    names=["block", "at", "score"],
+                )
 
     return run
 
 
-def score_words(vocabulary: DataFrame, tree: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(word, n, logp): each word's log10 probability. A pass broadcasts one part of the tree."""
-    spark = vocabulary.sparkSession
+def unpack(texts: bytes) -> list[bytes]:
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor().decompress(texts)
+    return [t + END.encode() for t in whole.split(END.encode())[:-1]]
+
+
+def score_blocks(blocks: DataFrame, tree: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(block, at, score) of each document. A pass broadcasts one part of the tree."""
+    context = blocks.sparkSession.sparkContext
+    whole = blocks.filter(F.col("texts").isNotNull()).select("block", "texts")
     parts = max(1, math.ceil(tree.count() / part_rows))
     scored = None
     for part in range(parts):
         low = (F.col("context").bitwiseAND(0xFFFF) * SPREAD).bitwiseAND(0xFFFF)
         own = tree.filter((F.col("level") < 2) | (low % parts == part))
         arrays = own.select("level", "context", "symbol", "p", "back").toPandas()
-        shared = spark.sparkContext.broadcast(tuple(arrays[c].to_numpy() for c in arrays))
-        some = vocabulary.select("word", "n").mapInArrow(
-            _score_words(shared, parts, part), "word string, n long, logp double"
-        )
+        shared = context.broadcast(tuple(arrays[c].to_numpy() for c in arrays))
+        some = whole.mapInArrow(_score(shared, parts, part), "block string, at long, score double")
         scored = some if scored is None else scored.unionByName(some)
-    if parts > 1:
-        scored = scored.groupBy("word").agg(F.first("n").alias("n"), F.sum("logp").alias("logp"))
-    return scored
+    return scored.groupBy("block", "at").agg(F.sum("score").alias("score")) if parts > 1 else scored
 
 
 def _add_up(tokens: int, distinct: int, kind: pa.DataType):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        import zstandard
-
         table = dict(zip(words["word"].to_pylist(), range(words.num_rows)))
         count = words["n"].to_numpy().astype(np.float64)
         base = np.log10((count + 1) / (tokens + distinct + 1))
-        values = np.stack([count > 0, base, words["logp"].to_numpy()], axis=1)
-        ids, flags, sums = [], [], []
-        for row in docs.select(["ids", "held_out", "texts"]).to_pylist():
-            texts = zstandard.ZstdDecompressor().decompress(row["texts"]) if row["texts"] else b""
+        values = np.stack([count > 0, base], axis=1)
+        blocks, ids, flags, at, sums = [], [], [], [], []
+        for row in docs.select(["block", "ids", "held_out", "texts"]).to_pylist():
+            streams = unpack(row["texts"])
+            blocks += [row["block"]] * len(streams)
             ids += row["ids"]
             flags += row["held_out"]
-            for text in texts.split(b"\xff"):
-                places = [table[w] for w in words_of(text.decode())]
+            at += range(len(streams))
+            for text in streams:
+                words_here = [*text.decode().strip(MARK + END).split(MARK), END]
+                places = [table[w] for w in words_here if w]
                 sums.append((len(places), *values[places].sum(axis=0)))
-        sums = np.array(sums).reshape(-1, 4)
+        sums = np.array(sums).reshape(-1, 3)
         return pa.table(
             {
+                "block": pa.array(blocks, pa.string()),
+                "at": pa.array(at, pa.int64()),
                 "doc_id": pa.array(ids, kind),
                 "held_out": pa.array(flags, pa.bool_()),
                 "n_tokens": pa.array(sums[:, 0].astype(np.int64)),
                 "n_known": pa.array(sums[:, 1].astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(sums), tokens, np.int64)),
                 "base_score": pa.array(sums[:, 2]),
-                "score": pa.array(sums[:, 3]),
             }
         )
 
@@ -338,31 +357,27 @@ def _add_up(tokens: int, distinct: int, kind: pa.DataType):
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of documents
     with doc_id, text and held_out; learns from those that are not held out."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     ship(docs.sparkSession)
     blocks = packed(docs)
-    listed = blocks.filter(F.col("words").isNotNull()).select(
-        "block", F.explode(F.arrays_zip("words", "counts")).alias("x")
-    )
-    listed = listed.select("block", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    vocabulary = staged(listed.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = listed(blocks, "words", "word")
+    vocabulary = staged(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens, distinct = vocabulary.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))
     ).first()
-    scored = score_words(vocabulary, grow_tree(vocabulary))
-    by_block = listed.select(F.col("block").alias("of"), "word").join(scored, "word")
-    whole = blocks.filter(F.col("words").isNull()).select("block", "ids", "held_out", "texts")
+    tree = grow_tree(listed(blocks, "keys", "key"))
+    by_block = words.select(F.col("block").alias("of"), "word").join(vocabulary, "word")
+    whole = blocks.filter(F.col("texts").isNotNull()).select("block", "ids", "held_out", "texts")
     kind = docs.schema["doc_id"].dataType
-    return (
+    base = (
         whole.groupBy("block")
         .cogroup(by_block.groupBy("of"))
         .applyInArrow(
             _add_up(tokens, distinct, to_arrow_type(kind)),
-            f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, "
-            "train_tokens long, base_score double, score double",
+            f"block string, at long, doc_id {kind.simpleString()}, held_out boolean, "
+            "n_tokens long, n_known long, train_tokens long, base_score double",
         )
     )
+    return base.join(score_blocks(blocks, tree), ["block", "at"]).drop("block", "at")
 
 
 def with_folds(docs: DataFrame) -> DataFrame:

@@ -283,14 +283,14 @@ def learn(
 def identify(
     docs: DataFrame, model: tuple[np.ndarray, list[str]], model_path: str | None = None
 ) -> DataFrame:
-    """docs' key and flag columns as they are, with lang_pred and score, from text alone."""
+    """lang_pred and score from the column text alone, beside docs' other columns."""
     spark = docs.sparkSession
     ship(spark)
     model_path = model_path or default_model()
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
+    kept = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
+    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prob, languages = shared.value
@@ -322,7 +322,7 @@ def identify(
                     names=[*kept, "lang_pred", "score"],
                 )
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model_path: str | None = None) -> DataFrame:

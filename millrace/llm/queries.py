@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from millrace.llm import (
     chat_grammar,
     decontaminate,
+    jaccard_tiles,
     language_id,
+    pii_bootstrap,
     sentence_spans,
     sp_chunks,
     suffix_tree_lm,
@@ -58,6 +60,15 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_chunks.token_digests(encoded)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii_bootstrap.find_spans(read_table(spark, sf_dir, "documents"))
+    return pii_bootstrap.span_digests(spans)
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tiles.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(read_table(spark, sf_dir, "documents"))
 
@@ -70,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_tree_lm": op5_suffix_tree_lm,
     "op6_sentence_spans": op6_sentence_spans,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_pii": op8_pii,
+    "op9_jaccard": op9_jaccard,
     "op10_language_id": op10_language_id,
 }
 
@@ -77,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat_grammar.SQL,
     "op3_topk": topk_impacts.SQL,
     "op4_warc": warc_chunks.SQL,
+    "op9_jaccard": jaccard_tiles.SQL,
 }

@@ -70,10 +70,10 @@ def blocks_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_two_stages(df: DataFrame, by: str) -> DataFrame:
-    """Deal an aggregated side by another column, so that a join on its key shuffles both
-    sides anew and adaptive execution may split a hot key's partition of the other side."""
-    return df.repartition(blocks_of(df.sparkSession), by)
+def in_two_stages(df: DataFrame) -> DataFrame:
+    """Deal an aggregated side by all its columns, evenly, so that a join on its key shuffles
+    both sides anew and adaptive execution may split a hot key's partition of the other."""
+    return df.repartition(blocks_of(df.sparkSession), *df.columns)
 
 
 def held_out(key: str, modulus: int) -> Column:

@@ -18,7 +18,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # A node with very many neighbours is summed before the shuffle and split in the join.
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = in_two_stages(least.select("a", F.least("a", "m").alias("m")), "m")
+    least = in_two_stages(least.select("a", F.least("a", "m").alias("m")))
     linked = both.join(least, "a")
     if larger:
         out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -350,7 +350,7 @@ def verified_edges(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataF
     sized = groups.join(reps.select(F.col("doc_id").alias("node"), "n"), "node")
     share = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     counts = sized.groupBy("component").agg(share.alias("blocks"))
-    placed = groups.join(in_two_stages(counts, "blocks"), "component").select(
+    placed = groups.join(in_two_stages(counts), "component").select(
         F.col("node").alias("doc_id"),
         "component",
         "blocks",
@@ -378,7 +378,7 @@ def near_duplicates(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     )
     # Rows with one id but different sets link their classes.
     members = staged(
-        full.select("doc_id", "n", "f1", "f2").join(in_two_stages(classes.drop("last"), "rep"), ["n", "f1", "f2"]).select("doc_id", "n", "rep"),
+        full.select("doc_id", "n", "f1", "f2").join(in_two_stages(classes.drop("last")), ["n", "f1", "f2"]).select("doc_id", "n", "rep"),
         "members",
     )
     same_id = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
@@ -387,7 +387,7 @@ def near_duplicates(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     links = verified_edges(docs, reps, candidates).union(same_id.filter("a <> b").select("a", "b"))
     found = components(links)
     labelled = members.join(
-        in_two_stages(found.withColumnRenamed("node", "rep"), "component"), "rep", "left"
+        in_two_stages(found.withColumnRenamed("node", "rep")), "rep", "left"
     )
     empty = sets.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     every = labelled.select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))

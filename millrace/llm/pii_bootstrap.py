@@ -181,7 +181,7 @@ def confident_patterns(
         instances.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph"
     )
     known = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    edges = edges.select("pattern", "value").join(in_two_stages(known, "seed"), "value")
+    edges = edges.select("pattern", "value").join(in_two_stages(known), "value")
     trusted = edges.withColumn("trust", F.col("seed").cast("double"))
     for number in range(rounds):
         patterns = trusted.groupBy("pattern").agg(
@@ -194,9 +194,9 @@ def confident_patterns(
         wrong = F.when(
             F.col("seeds") >= seeds, F.log(1 - F.least("confidence", F.lit(0.999)))
         ).otherwise(0.0)
-        scored = trusted.join(in_two_stages(patterns.select("pattern", wrong.alias("wrong")), "wrong"), "pattern")
+        scored = trusted.join(in_two_stages(patterns.select("pattern", wrong.alias("wrong"))), "pattern")
         values = scored.groupBy("value").agg((1 - F.exp(F.sum("wrong"))).alias("found"))
-        trusted = edges.join(in_two_stages(values, "found"), "value").select(
+        trusted = edges.join(in_two_stages(values), "value").select(
             "pattern", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("found")).alias("trust")
         )
     return patterns.filter((F.col("confidence") >= least) & (F.col("seeds") >= seeds))
@@ -212,7 +212,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     kind = KINDS.index("context")
     added = (
         instances.filter(~F.col("seed"))
-        .join(in_two_stages(patterns, "confidence"), "pattern")
+        .join(in_two_stages(patterns), "pattern")
         .groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r"))
         .agg(F.sort_array(F.collect_set(F.struct(F.lit(kind).alias("kind"), "start", "end"))).alias("added"))
     )

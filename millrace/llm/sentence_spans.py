@@ -108,7 +108,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS
         .filter(F.col("place") != F.col("other"))
         .select("run", F.col("place.doc_id").alias("d"), F.col("place.first").alias("f"))
     )
-    found = runs.join(in_two_stages(earliest, "d"), "run")
+    found = runs.join(in_two_stages(earliest), "run")
     return found.filter((F.col("doc_id") != F.col("d")) | (F.col("first") != F.col("f"))).select(
         "doc_id", "first", "last", "run"
     )

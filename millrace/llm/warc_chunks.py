@@ -59,7 +59,7 @@ def with_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
         .filter("n > 1")
         .select("digest", "largest")
     )
-    found = rows.join(in_two_stages(copies, "largest"), "digest", "left")
+    found = rows.join(in_two_stages(copies), "digest", "left")
     return found.select(
         "page_id", "url", "html", "size", "digest",
         F.when(F.col("largest") != F.col("page_id"), F.col("largest")).alias("refers_to"),

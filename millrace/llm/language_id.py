@@ -273,9 +273,10 @@ def learn(
         shared = spark.sparkContext.broadcast((prob, languages))
         counts = rows.mapInArrow(_count(shared, model_path), "piece long, lang long, n double")
         # At most pieces x languages rows come back, however large the corpus.
-        summed = counts.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        summed = counts.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        piece, lang, n = (summed.column(c).to_numpy() for c in ("piece", "lang", "n"))
         total = np.full((size, len(languages)), SMOOTHING)
-        total[summed["piece"], summed["lang"]] += summed["n"]
+        total[piece, lang] += n
         prob = total / total.sum(axis=0)
     return prob, languages
 

@@ -313,8 +313,8 @@ def score_blocks(blocks: DataFrame, tree: DataFrame, part_rows: int = PART_ROWS)
     for part in range(parts):
         low = (F.col("context").bitwiseAND(0xFFFF) * SPREAD).bitwiseAND(0xFFFF)
         own = tree.filter((F.col("level") < 2) | (low % parts == part))
-        arrays = own.select("level", "context", "symbol", "p", "back").toPandas()
-        shared = context.broadcast(tuple(arrays[c].to_numpy() for c in arrays))
+        arrays = own.select("level", "context", "symbol", "p", "back").toArrow()
+        shared = context.broadcast(tuple(c.to_numpy() for c in arrays.columns))
         some = whole.mapInArrow(_score(shared, parts, part), "block string, at long, score double")
         scored = some if scored is None else scored.unionByName(some)
     return scored.groupBy("block", "at").agg(F.sum("score").alias("score")) if parts > 1 else scored

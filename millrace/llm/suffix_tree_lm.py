@@ -3,8 +3,8 @@
 A text is its words, lower-cased (A-Z), with a mark before and behind each, and then an
 end; symbols are bytes. The tree's states are contexts: the last 0 to DEPTH symbols. A
 context is retained if its next symbols diverge from what its parent (the context without
-its oldest symbol) foretells: their log-likelihood gain must reach MIN_GAIN nats; ancestors
-of retained contexts stay too. Distributions are smoothed: a context's counts are mixed
+its oldest symbol) foretells: their log-likelihood gain must reach MIN_GAIN nats. The tree
+grows from the root, so ancestors of retained contexts are retained too. Distributions are smoothed: a context's counts are mixed
 with WEIGHT times its parent's distribution, the root's with equal chances of all bytes. A
 symbol is scored in its longest retained suffix state. The product over a text's symbols is
 the model's probability of the text; the base scores are those of its words.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -53,6 +53,7 @@ MARK, END = " ", "\n"
 SLICE = 1_500_000
 LOW = np.uint64(0xFFFF)
 SPREAD = 40_503
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
@@ -83,15 +84,20 @@ def symbols(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _keys(group: list[tuple[int, bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(part) for _, part, _ in group])
+    starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(part for _, part, _ in group), np.uint8).astype(np.uint64)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.flatnonzero(place >= np.repeat([skip for _, _, skip in group], sizes))
-    owner = np.repeat([owner for owner, _, _ in group], sizes)[at]
-    place, keys = place[at], data[at]
+    keys = data.copy()
     for back in range(1, DEPTH + 1):
-        reach = np.flatnonzero(place >= back)
-        keys[reach] |= data[at[reach] - back] << np.uint64(8 * back)
-    return keys, owner
+        keys[back:] |= data[:-back] << np.uint64(8 * back)
+    # Near a piece's start the context is only as long as the piece so far.
+    for place in range(DEPTH):
+        near = starts[sizes > place] + place
+        keys[near] &= np.uint64((1 << (8 * (place + 1))) - 1)
+    scored = np.ones(len(data), bool)
+    for place in range(DEPTH):
+        scored[[s + place for s, (_, _, skip) in zip(starts, group) if skip > place]] = False
+    owner = np.repeat([owner for owner, _, _ in group], sizes)
+    return keys[scored], owner[scored]
 
 
 def count_symbols(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +189,7 @@ def grow_tree(contexts: DataFrame) -> DataFrame:
     a state's unseen symbols take of its parent's distribution."""
     full = staged(contexts.groupBy("key").agg(F.sum("n").alias("n")), "contexts")
     key, symbol = F.col("key"), F.col("key").bitwiseAND(255)
-    levels: list[DataFrame] = []
+    tree, above = None, None
     for level in range(DEPTH + 1):
         context = F.shiftright(key, 8).bitwiseAND((1 << (8 * level)) - 1)
         # The top byte of a state of this level must be there, or it is a shorter one's copy.
@@ -191,40 +197,27 @@ def grow_tree(contexts: DataFrame) -> DataFrame:
         counts = own.groupBy(context.alias("context"), symbol.alias("symbol")).agg(
             F.sum("n").alias("n")
         )
-        totals = counts.groupBy("context").agg(F.sum("n").alias("total"))
-        state = counts.join(totals, "context")
-        if level == 0:
-            state = state.withColumn("above", F.lit(1 / 256)).withColumn("up", F.lit(0).cast("long"))
+        if above is None:
+            state = counts.withColumn("above", F.lit(1 / 256))
         else:
+            # Only children of retained contexts have a row here.
             up = F.col("context").bitwiseAND((1 << (8 * (level - 1))) - 1)
-            parent = levels[-1].select(F.col("context").alias("up"), "symbol", F.col("p").alias("above"))
-            state = state.withColumn("up", up).join(parent, ["up", "symbol"])
-        p = (F.col("n") + WEIGHT * F.col("above")) / (F.col("total") + WEIGHT)
-        gain = F.col("n") * F.log(F.col("n") / F.col("total") / F.col("above"))
-        levels.append(
-            staged(
-                state.select(
-                    F.lit(level).alias("level"), "context", "up", "symbol", p.alias("p"),
-                    (WEIGHT / (F.col("total") + WEIGHT)).alias("back"), gain.alias("gain"),
-                ),
-                f"level{level}",
-            )
-        )
-    kept, tree = None, None
-    for level in range(DEPTH, -1, -1):
-        rows = levels[level]
-        fit = rows.groupBy("context", "up").agg(F.sum("gain").alias("gain"))
-        fit = fit.filter((F.col("gain") >= MIN_GAIN) | F.lit(level == 0)).select("context", "up")
-        if kept is not None:
-            bits = (1 << (8 * (level - 1))) - 1 if level else 0
-            older = kept.select(
-                F.col("up").alias("context"), F.col("up").bitwiseAND(bits).alias("up")
-            )
-            fit = fit.union(older).distinct()
-        kept = fit
-        some = rows.join(kept.select("context"), "context", "left_semi").drop("gain", "up")
-        tree = some if tree is None else tree.unionByName(some)
-    return staged(tree, "tree")
+            parent = above.select(F.col("context").alias("up"), "symbol", F.col("p").alias("above"))
+            state = counts.withColumn("up", up).join(parent, ["up", "symbol"])
+        of_context = Window.partitionBy("context")
+        state = state.withColumn("total", F.sum("n").over(of_context))
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("above")))
+        state = state.withColumn("gain", gain.over(of_context))
+        kept = state.filter((F.col("gain") >= MIN_GAIN) | F.lit(level == 0)).select(
+            F.lit(level).alias("level"),
+            "context",
+            "symbol",
+            ((F.col("n") + WEIGHT * F.col("above")) / (F.col("total") + WEIGHT)).alias("p"),
+            (WEIGHT / (F.col("total") + WEIGHT)).alias("back"),
+        )
+        above = staged(kept, f"level{level}")
+        tree = above if tree is None else tree.unionByName(above)
+    return tree
 
 
 class Tree:
@@ -266,6 +259,31 @@ class Tree:
         return out
 
 
+class Remembered:
+    """A tree's answers in a table of fixed size with one place per hash: most symbols of a
+    text stand in contexts seen shortly before."""
+
+    BITS = 21
+
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        self.keys = np.full(1 << self.BITS, np.iinfo(np.uint64).max, np.uint64)
+        self.logs = np.zeros(1 << self.BITS)
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        place = ((keys * GOLDEN) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = self.logs[place]
+        new = np.flatnonzero(self.keys[place] != keys)
+        if len(new):
+            some, inverse = np.unique(keys[new], return_inverse=True)
+            logs = self.tree.log10(some)
+            out[new] = logs[inverse]
+            place = ((some * GOLDEN) >> np.uint64(64 - self.BITS)).astype(np.int64)
+            # Where two share a place, both arrays take the same one: the last.
+            self.keys[place], self.logs[place] = some, logs
+        return out
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """By the last two symbols of a context; states shorter than that are in every part."""
     low = (keys >> np.uint64(8)) & LOW
@@ -274,7 +292,7 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _score(shared, parts: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(*shared.value)
+        tree = Remembered(Tree(*shared.value))
         for batch in batches:
             for block, texts in zip(*(c.to_pylist() for c in batch.columns)):
                 streams = unpack(texts)
@@ -283,8 +301,7 @@ def _score(shared, parts: int, part: int):
                     if parts > 1:
                         own = part_of(keys, parts) == part
                         keys, owner = keys[own], owner[own]
-                    some, inverse = np.unique(keys, return_inverse=True)
-                    total += np.bincount(owner, tree.log10(some)[inverse], len(streams))
+                    total += np.bincount(owner, tree.log10(keys), len(streams))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block] * len(streams)),

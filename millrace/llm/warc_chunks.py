@@ -4,8 +4,9 @@ Writing: a record's payload is cut into chunks of at most CHUNK_BYTES. The first
 a response record, later ones are continuation records with segment numbers, as the format
 has for long payloads. Each carries the digest of the payload so far, kept up while the
 chunks stream by. A payload is also cut inside every ``WARC/1.1``, so that this string
-stands only at a record's start and Spark's text reader can split the archives at it, in
-parallel and within files of any size.
+stands only at a record's start and Spark's text reader can split the archives at it.
+Archives are compressed files of at most FILE_RECORDS records, so they are read in parallel
+file by file.
 
 Reading: one row per chunk, (record key, chunk number, bytes). Records of one chunk are
 digested at once; the chunks of longer ones are dealt by record, sorted by number and
@@ -35,6 +36,7 @@ from millrace.llm.common import blocks_of, in_two_stages, shared_dir, ship
 
 CHUNK_BYTES = 16_384
 MIN_REVISIT = 1_000
+FILE_RECORDS = 20_000
 #: Chunks per Arrow batch of the running digest: bounds what a task holds.
 BATCH_CHUNKS = 256
 
@@ -139,7 +141,7 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES)
     records = rows.mapInArrow(run, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option(
         "lineSep", "\r\n"
-    ).text(path)
+    ).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _field(name: str) -> Column:

@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent.parent
 
-#: A word is a run of characters other than these: space and code points 9 to 13.
-SPACES = " \t\n\x0b\x0c\r"
+#: A word is a run of characters other than space and code points 9 to 13; bytes.split()
+#: parts UTF-8 at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
-_LOWER = {i: i + 32 for i in range(65, 91)}
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-cases A-Z and nothing else."""
-    return text.translate(_LOWER)
+def lower_words(text: str) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lower-cased and nothing else."""
+    return text.encode().translate(_LOWER).split()
 
 
 def ship(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import in_two_stages, lower_ascii, ship
+from millrace.llm.common import in_two_stages, lower_words, ship
 from millrace.llm.tokens import mix
 
 SPAN = 2
@@ -53,8 +53,8 @@ def runs_of(text: str, span: int, min_words: int) -> Iterator[tuple[int, int, in
 
     hashes, words = [], [0]
     for start, end in sentences_of(text):
-        own = lower_ascii(text[start:end]).split()
-        hashes.append(xxhash.xxh3_64_intdigest(" ".join(own)))
+        own = lower_words(text[start:end])
+        hashes.append(xxhash.xxh3_64_intdigest(b" ".join(own)))
         words.append(words[-1] + len(own))
     count = len(hashes)
     if count < span:

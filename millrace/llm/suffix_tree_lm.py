@@ -25,7 +25,6 @@ bytes are equally likely; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.common import WORD, held_out, lower_ascii, ship, staged
+from millrace.llm.common import held_out, lower_words, ship, staged
 
 DEPTH = 5
 MIN_GAIN = 8.0
@@ -46,9 +45,8 @@ PART_ROWS = 3_000_000
 BLOCK_BYTES = 12_000_000
 LIST_ROWS = 20_000
 
-WORDS = re.compile(WORD)
 #: The mark around words, and the end of a text: neither occurs in words.
-MARK, END = " ", "\n"
+MARK, END = b" ", b"\n"
 #: Symbols handled at once; a longer text is cut, with its context carried over.
 SLICE = 1_500_000
 LOW = np.uint64(0xFFFF)
@@ -56,13 +54,13 @@ SPREAD = 40_503
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str) -> list[str]:
-    return [*WORDS.findall(lower_ascii(text)), END]
+def words_of(text: str) -> list[bytes]:
+    return [*lower_words(text), END]
 
 
-def stream(words: list[str]) -> bytes:
+def stream(words: list[bytes]) -> bytes:
     """A text's symbols; the first mark is given, not scored."""
-    return (MARK + MARK.join(words[:-1]) + (MARK if words[1:] else "") + END).encode()
+    return MARK + MARK.join(words[:-1]) + (MARK if words[1:] else b"") + END
 
 
 def symbols(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,7 +120,7 @@ def _pack(kind: pa.DataType):
         ids: list = []
         flags: list = []
         streams: list[bytes] = []
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         learnt: Counter = Counter()
 
         def row(**values) -> pa.RecordBatch:
@@ -137,7 +135,8 @@ def _pack(kind: pa.DataType):
             every = sorted(seen)
             for lo in range(0, len(every), LIST_ROWS):
                 some = every[lo : lo + LIST_ROWS]
-                yield row(block=block, words=some, counts=[learnt[w] for w in some])
+                names_here = [w.decode() for w in some]
+                yield row(block=block, words=names_here, counts=[learnt[w] for w in some])
             keys, n = count_symbols([t for t, held in zip(streams, flags) if not held])
             for lo in range(0, len(keys), LIST_ROWS):
                 hi = lo + LIST_ROWS
@@ -318,7 +317,7 @@ def unpack(texts: bytes) -> list[bytes]:
     import zstandard
 
     whole = zstandard.ZstdDecompressor().decompress(texts)
-    return [t + END.encode() for t in whole.split(END.encode())[:-1]]
+    return [t + END for t in whole.split(END)[:-1]]
 
 
 def score_blocks(blocks: DataFrame, tree: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
@@ -339,7 +338,8 @@ def score_blocks(blocks: DataFrame, tree: DataFrame, part_rows: int = PART_ROWS)
 
 def _add_up(tokens: int, distinct: int, kind: pa.DataType):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        table = dict(zip(words["word"].to_pylist(), range(words.num_rows)))
+        names = words["word"].cast(pa.binary()).to_pylist()
+        table = dict(zip(names, range(len(names))))
         count = words["n"].to_numpy().astype(np.float64)
         base = np.log10((count + 1) / (tokens + distinct + 1))
         values = np.stack([count > 0, base], axis=1)
@@ -351,8 +351,7 @@ def _add_up(tokens: int, distinct: int, kind: pa.DataType):
             flags += row["held_out"]
             at += range(len(streams))
             for text in streams:
-                words_here = [*text.decode().strip(MARK + END).split(MARK), END]
-                places = [table[w] for w in words_here if w]
+                places = [table[w] for w in (*text.split(), END)]
                 sums.append((len(places), *values[places].sum(axis=0)))
         sums = np.array(sums).reshape(-1, 3)
         return pa.table(

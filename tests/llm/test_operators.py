@@ -404,7 +404,7 @@ def test_forward_sums_all_segmentations():
 
 def test_languages(spark):
     en, fr = "the cat and the dog went over the hill with them", "le chat et la souris sont dans la maison avec eux"
-    rows = [(i, f"{en} {i}", "en") for i in range(40)] + [(100 + i, f"{fr} {i}", "fr") for i in range(40)]
+    rows = [(50 + i, f"{en} {i}", "en") for i in range(40)] + [(100 + i, f"{fr} {i}", "fr") for i in range(40)]
     rows += [(300, "123 !?", "en"), (301, en, None), *AWKWARD]
     got = language_id.predict(docs_of(spark, rows)).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)

@@ -43,12 +43,12 @@ SMOOTHING = 0.05
 EM_ROUNDS = 1
 #: Distinct words summed at once, and kept per task.
 BATCH_WORDS = 20_000
-TABLE_WORDS = 300_000
+TABLE_WORDS = 150_000
 #: Longest word, in bytes, summed together with others; longer ones are summed alone.
 LONG_WORD = 160
 #: Probabilities are multiplied by this per byte so that words' sums stay near 1.
 SCALE = 24.0
-SIEVE_BITS = 20
+SIEVE_BITS = 16
 
 
 class Vocabulary:

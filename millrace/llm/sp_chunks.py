@@ -37,7 +37,7 @@ CROSSING = re.compile(f"[^{MARK}]{MARK}")
 NORMALIZER, CHARSMAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE = 3, 2, 3, 4, 5
 
 #: Distinct chunks kept per block before the table starts anew, to bound memory.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 150_000
 
 
 def default_model() -> str:

@@ -1,8 +1,10 @@
 """Schemas and reader of the given parquet tables.
 
-The schema is stated, not inferred, so that a read starts no job to look into
-file footers. Timestamps carry no zone and stay ``timestamp_ntz``, so results
-do not depend on the session time zone.
+The schema is stated. The reader looks at a table's own schema once (a small job over a
+footer) and raises if a stated column is absent or has another type, which would otherwise
+read as nulls. It does not notice files of one table that differ among themselves.
+Timestamps carry no zone and stay ``timestamp_ntz``, so results do not depend on the
+session time zone.
 """
 
 from __future__ import annotations
@@ -44,4 +46,10 @@ SCHEMAS: dict[str, str] = {
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    stated = spark.read.schema(SCHEMAS[name]).parquet(path)
+    found = dict(spark.read.parquet(path).dtypes)
+    wrong = {c: found.get(c) for c, kind in stated.dtypes if found.get(c) != kind}
+    if wrong:
+        raise ValueError(f"{path}: columns absent or of another type than stated: {wrong}")
+    return stated

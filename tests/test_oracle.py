@@ -12,7 +12,12 @@ import pytest
 import __spark_entry__
 from millrace.sources.tables import SCHEMAS
 
+#: No HUGEINT: integer sums must be cast to BIGINT in the SQL.
 DUCK_TO_SPARK = {
+    "BOOLEAN": "boolean",
+    "FLOAT": "float",
+    "FLOAT[]": "array<float>",
+    "DATE": "date",
     "BIGINT": "bigint",
     "INTEGER": "int",
     "DOUBLE": "double",
@@ -21,6 +26,22 @@ DUCK_TO_SPARK = {
 }
 
 
+#: Queries that SQL cannot express; each is tested otherwise.
+NO_SQL = {
+    "op1_decontaminate",  # greedy tiling; brute force
+    "op5_suffix_tree_lm",  # tree scores; brute force for counts, sums to one
+    "op6_sentence_spans",  # sentence runs of varying length; brute force
+    "op7_sentencepiece",  # the library's tokenizer; compared with the library
+    "op8_pii",  # iterative scores; brute force
+    "op10_language_id",  # learnt model; held-out accuracy
+    "pipeline",  # holds three of these
+}
+
+
+def null_safe(row):
+    return [(value is not None, value) for value in row]
+
+
 def duck(sf_dir: str, sql: str):
     con = duckdb.connect()
     for name in SCHEMAS:
@@ -28,7 +49,7 @@ def duck(sf_dir: str, sql: str):
     return con.sql(sql)
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
 def test_query_equals_sql(spark, name, sf):
     sf_dir = f"/root/testdata/{sf}"
@@ -40,14 +61,15 @@ def test_query_equals_sql(spark, name, sf):
     want_types = {c: DUCK_TO_SPARK[str(t)] for c, t in zip(want.columns, want.types)}
     assert dict(got.dtypes) == want_types
 
-    got_rows = sorted(tuple(r) for r in got.select(columns).collect())
-    want_rows = sorted(want.select(*columns).fetchall())
+    got_rows = sorted((tuple(r) for r in got.select(columns).collect()), key=null_safe)
+    want_rows = sorted(want.select(*columns).fetchall(), key=null_safe)
     assert got_rows
     assert got_rows == want_rows
 
 
 def test_every_oracle_has_a_query():
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    names = set(__spark_entry__.queries())
+    assert set(__spark_entry__.oracle_sql()) == names - NO_SQL
 
 
 def test_entry_returns_rows_and_a_stable_schema(spark):

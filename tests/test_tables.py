@@ -14,3 +14,16 @@ def test_schema_equals_file(spark, name, sf):
     stated = read_table(spark, sf_dir, name).dtypes
     in_file = spark.read.parquet(f"{sf_dir}/{name}.parquet").dtypes
     assert stated == in_file
+
+
+def test_absent_and_wrong_columns_raise(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "r_regionkey int, name string").write.parquet(
+        str(tmp_path / "region.parquet")
+    )
+    with pytest.raises(ValueError, match="r_name"):
+        read_table(spark, str(tmp_path), "region")
+    spark.createDataFrame([(1, 2)], "item_id int, text long").write.parquet(
+        str(tmp_path / "benchmark.parquet")
+    )
+    with pytest.raises(ValueError, match="item_id.*text"):
+        read_table(spark, str(tmp_path), "benchmark")

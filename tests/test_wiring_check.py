@@ -6,6 +6,7 @@ import datetime as dt
 import re
 
 from millrace.plans.wiring_check import summarize, wiring_check
+from millrace.sources.tables import read_table
 
 SCHEMA = (
     "l_returnflag string, l_linestatus string, l_quantity double, l_shipdate timestamp_ntz"
@@ -58,11 +59,14 @@ def test_time_zone_of_the_session_does_not_matter(spark):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
-def test_plan(spark):
-    df = wiring_check(spark, "/root/testdata/sf0.01")
-    plan = df._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
+def test_quantities_are_whole_so_their_sum_has_no_order(spark):
+    lines = read_table(spark, "/root/testdata/sf0.1", "lineitem")
+    assert lines.filter("l_quantity <> floor(l_quantity)").count() == 0
+
+
+def test_plan(spark, capsys):
+    wiring_check(spark, "/root/testdata/sf0.01").explain("formatted")
+    plan = capsys.readouterr().out
     pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
     assert "LessThanOrEqual(l_shipdate" in pushed
     read = re.search(r"ReadSchema: struct<(.*?)>", plan).group(1)

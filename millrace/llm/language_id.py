@@ -118,7 +118,8 @@ class Vocabulary:
             if len(maybe):
                 low = np.minimum(np.searchsorted(keys, total[maybe]), len(keys) - 1)
                 hit = keys[low] == total[maybe]
-                out.append((n, at[maybe[hit]], ids[low[hit]]))
+                if hit.any():
+                    out.append((n, at[maybe[hit]], ids[low[hit]]))
             more = self.onward[n][slots]
             at, total = at[more], total[more]
         return out

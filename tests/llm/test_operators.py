@@ -215,7 +215,9 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def test_jaccard_components_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [12, 6])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, bits):
+    """With 6 bits the sketch tells no frequent shingle apart: groups are cut by their size."""
     monkeypatch.setattr(jaccard_tiles, "BLOCK", 8)
     rng = random.Random(5)
     base = [[f"v{rng.randrange(400)}" for _ in range(rng.randrange(6, 90))] for _ in range(6)]
@@ -227,7 +229,7 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch):
         rows.append((1000 + i, " ".join(words), "en"))
     rows += [(i, t, lang) for i, t, lang in AWKWARD if i is not None] + [(50, "One two", "en"), (51, "one TWO", "en")]
     frame = docs_of(spark, rows)
-    found = jaccard_tiles.near_duplicates(frame, bits=12).collect()
+    found = jaccard_tiles.near_duplicates(frame, bits=bits).collect()
     sets = [(i, shingle_set(t)) for i, t, _ in rows]
     parent = {i: i for i, _ in sets}
 
@@ -241,7 +243,7 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch):
             x, y = sorted((root(i), root(j)))
             parent[y] = x
     assert Counter(map(tuple, found)) == Counter((i, len(s), root(i)) for i, s in sets)
-    assert jaccard_tiles.near_duplicates(frame.limit(0), bits=12).count() == 0
+    assert jaccard_tiles.near_duplicates(frame.limit(0), bits=bits).count() == 0
 
 
 def test_word_hashes_see_words_as_python_does():

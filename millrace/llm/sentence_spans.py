@@ -5,13 +5,20 @@ MIN_WORDS words; every run is hashed (lower-cased, white space collapsed). Runs
 over the whole corpus by hash. A run's first place (smallest document id, then sentence)
 stays; sentences covered by any run at another place are removed.
 
+A sentence of more than CUT_ABOVE words is cut in units, which take a sentence's place in
+all that follows, results included. Cuts are the places whose neighbouring words have the
+least hash in some window of WINDOW places, so units have at most WINDOW words and equal
+passages are cut alike but near their ends. Hence 4 * WINDOW + MIN_WORDS - 2 words (49)
+without a stop that stand in two places always share a run, whatever stands around them.
+
 Counting a run is summed before its shuffle. In the join back, a run that many documents
 share is split over tasks by adaptive execution, since both sides are shuffled for it.
 Removals are gathered per document, so they are bounded by the document's length.
 
 Defined results: null text stays null and empty text empty, both without sentences; a
 document too short for a run loses nothing; rows with a null id take no part and stay as
-they are; rows with equal id count as one document; other columns are ignored.
+they are; rows with equal id count as one document; other columns are ignored. Words are
+what white space parts: a script written without it has few words, and so few runs.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import in_two_stages, lower_words, ship
+from millrace.llm.common import WORD, in_two_stages, lower_words, ship
 from millrace.llm.tokens import mix
 
 SPAN = 2
@@ -33,17 +40,54 @@ MIN_WORDS = 15
 #: A sentence ends behind stops that white space follows, and at line breaks.
 BREAKS = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Longest sentence, in words, that stays whole; places per window of the cuts in others.
+CUT_ABOVE = 32
+WINDOW = 9
+#: Windows looked at at once.
+SLICE = 1 << 16
+WORDS = re.compile(WORD)
+
+
+def cuts_of(words: list[bytes]) -> np.ndarray:
+    """Numbers of the words before which a long sentence is cut: in each window the place
+    with the least hash, the last one of equals."""
+    import xxhash
+
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    places = mix(own[:-1] * BASE + own[1:])
+    windows = np.lib.stride_tricks.sliding_window_view(places, WINDOW)[:, ::-1]
+    found = [
+        np.unique(np.arange(lo, lo + len(some)) + WINDOW - some.argmin(axis=1))
+        for lo in range(0, len(windows), SLICE)
+        for some in (windows[lo : lo + SLICE],)
+    ]
+    return np.unique(np.concatenate(found))
+
+
+def units_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The sentence itself, or its units if it is long."""
+    # More words than CUT_ABOVE take more than twice as many characters.
+    if end - start <= 2 * CUT_ABOVE:
+        return [(start, end)]
+    words = lower_words(text[start:end])
+    if len(words) <= CUT_ABOVE:
+        return [(start, end)]
+    spans = [m.span() for m in WORDS.finditer(text, start, end)]
+    cuts = cuts_of(words).tolist()
+    starts = [start, *(spans[i][0] for i in cuts)]
+    return list(zip(starts, [*(spans[i - 1][1] for i in cuts), end]))
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
-    """Start and end (exclusive, in code points) of the sentences that hold any word."""
+    """Start and end (exclusive, in code points) of the sentences that hold any word; long
+    sentences in units."""
     out, start = [], 0
     for gap in BREAKS.finditer(text):
         if text[start : gap.start()].strip():
-            out.append((start, gap.start()))
+            out += units_of(text, start, gap.start())
         start = gap.end()
     if text[start:].strip():
-        out.append((start, len(text)))
+        out += units_of(text, start, len(text))
     return out
 
 

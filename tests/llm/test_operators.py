@@ -381,6 +381,32 @@ def test_repeated_spans_equal_brute_force(spark):
     assert sentence_spans.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_passages_without_stops_are_found_in_any_surroundings(spark):
+    rng = random.Random(11)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = draw(60)
+    rows = [(1, " ".join(passage), "x"), (2, " ".join(passage).upper(), "x")]
+    rows += [(10 + i, " ".join([*draw(rng.randrange(50)), *passage, *draw(rng.randrange(50))]), "x") for i in range(30)]
+    rows += [(50, " ".join(draw(60)), "x")]
+    got = {r.doc_id: r for r in sentence_spans.remove_repeats(docs_of(spark, rows)).collect()}
+    for i, text, _ in rows:
+        left, gone = got[i].text.split(), 60 - sum(w.lower() in passage for w in got[i].text.split())
+        # What goes is of the passage only, but for the units it begins or ends in.
+        assert (left == text.split() and got[i].n_removed == 0) if i in (1, 50) else gone >= 15
+        assert len(text.split()) - len(left) <= gone + 2 * sentence_spans.WINDOW
+    # Of a whole copy, no more stays than is too short for a run.
+    assert len(got[2].text.split()) < sentence_spans.MIN_WORDS
+    for _ in range(300):
+        some, cuts = draw(49), []
+        for _ in range(2):
+            before = draw(rng.randrange(40))
+            words = [w.encode() for w in (*before, *some, *draw(rng.randrange(40)))]
+            cuts.append({int(c) - len(before) for c in sentence_spans.cuts_of(words)})
+        w = sentence_spans.WINDOW
+        assert {c for c in cuts[0] if w <= c <= 49 - w} == {c for c in cuts[1] if w <= c <= 49 - w}
+        assert max(np.diff(sorted(cuts[0]))) <= w
+
+
 # 10: all segmentations by brute force, held-out accuracy
 
 

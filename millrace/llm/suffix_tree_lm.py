@@ -3,9 +3,9 @@
 A text is its words, lower-cased (A-Z), with a mark before and behind each, and then an
 end; symbols are bytes. The tree's states are contexts: the last 0 to DEPTH symbols. A
 context is retained if its next symbols diverge from what its parent (the context without
-its oldest symbol) foretells: their log-likelihood gain must reach MIN_GAIN nats. The tree
-grows from the root, so ancestors of retained contexts are retained too. Distributions are smoothed: a context's counts are mixed
-with WEIGHT times its parent's distribution, the root's with equal chances of all bytes. A
+its oldest symbol) foretells: their log-likelihood gain must reach MIN_GAIN nats. Every
+observed context is tested, whether its parent is retained or not, and ancestors of retained
+contexts stay too. Distributions are smoothed: a context's counts are mixed with WEIGHT times its parent's distribution, the root's with equal chances of all bytes. A
 symbol is scored in its longest retained suffix state. The product over a text's symbols is
 the model's probability of the text; the base scores are those of its words.
 
@@ -188,7 +188,7 @@ def grow_tree(contexts: DataFrame) -> DataFrame:
     a state's unseen symbols take of its parent's distribution."""
     full = staged(contexts.groupBy("key").agg(F.sum("n").alias("n")), "contexts")
     key, symbol = F.col("key"), F.col("key").bitwiseAND(255)
-    tree, above = None, None
+    levels: list[DataFrame] = []
     for level in range(DEPTH + 1):
         context = F.shiftright(key, 8).bitwiseAND((1 << (8 * level)) - 1)
         # The top byte of a state of this level must be there, or it is a shorter one's copy.
@@ -196,26 +196,38 @@ def grow_tree(contexts: DataFrame) -> DataFrame:
         counts = own.groupBy(context.alias("context"), symbol.alias("symbol")).agg(
             F.sum("n").alias("n")
         )
-        if above is None:
+        if level == 0:
             state = counts.withColumn("above", F.lit(1 / 256))
         else:
-            # Only children of retained contexts have a row here.
             up = F.col("context").bitwiseAND((1 << (8 * (level - 1))) - 1)
-            parent = above.select(F.col("context").alias("up"), "symbol", F.col("p").alias("above"))
+            parent = levels[-1].select(F.col("context").alias("up"), "symbol", F.col("p").alias("above"))
             state = counts.withColumn("up", up).join(parent, ["up", "symbol"])
         of_context = Window.partitionBy("context")
         state = state.withColumn("total", F.sum("n").over(of_context))
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("above")))
-        state = state.withColumn("gain", gain.over(of_context))
-        kept = state.filter((F.col("gain") >= MIN_GAIN) | F.lit(level == 0)).select(
+        state = state.withColumn("fit", gain.over(of_context) >= MIN_GAIN)
+        if level == DEPTH:
+            state = state.filter("fit")  # nothing hangs on the others
+        rows = state.select(
             F.lit(level).alias("level"),
             "context",
             "symbol",
             ((F.col("n") + WEIGHT * F.col("above")) / (F.col("total") + WEIGHT)).alias("p"),
             (WEIGHT / (F.col("total") + WEIGHT)).alias("back"),
+            "fit",
         )
-        above = staged(kept, f"level{level}")
-        tree = above if tree is None else tree.unionByName(above)
+        levels.append(staged(rows, f"level{level}"))
+    kept = levels[DEPTH].drop("fit")
+    tree = kept
+    for level in range(DEPTH - 1, -1, -1):
+        rows = levels[level]
+        if level:
+            # Ancestors of what is retained below.
+            up = F.col("context").bitwiseAND((1 << (8 * level)) - 1)
+            older = kept.select(up.alias("context")).distinct().withColumn("older", F.lit(True))
+            rows = rows.join(older, "context", "left").filter(F.col("fit") | F.col("older").isNotNull())
+        kept = staged(rows.select("level", "context", "symbol", "p", "back"), f"kept{level}")
+        tree = tree.unionByName(kept)
     return tree
 
 

@@ -350,6 +350,35 @@ def test_tree_is_proper_and_parts_do_not_matter(spark):
     assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-6 for k in whole)
 
 
+def test_contexts_below_unfit_ones_are_tested(spark):
+    """Behind cm x and y are as likely as behind m, but acm and bcm tell which one comes."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    words = ["acmx", "admy", "bcmy", "bdmx"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)), "x") for i in range(10)]
+    blocks = suffix_tree_lm.packed(docs_of(spark, rows).select("doc_id", "text", F.lit(False).alias("held_out")))
+    grown = suffix_tree_lm.grow_tree(suffix_tree_lm.listed(blocks, "keys", "key")).collect()
+    counts: dict[bytes, Counter] = {}
+    for _, text, _ in rows:
+        data = b" " + text.encode() + b" \n"
+        for i in range(1, len(data)):
+            for k in range(min(i, suffix_tree_lm.DEPTH) + 1):
+                counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    weight, p, fit = suffix_tree_lm.WEIGHT, {}, set()
+    for context in sorted(counts, key=len):
+        own, total = counts[context], sum(counts[context].values())
+        above = {s: p[context[1:]][s] if context else 1 / 256 for s in own}
+        p[context] = {s: (n + weight * above[s]) / (total + weight) for s, n in own.items()}
+        if sum(n * math.log(n / total / above[s]) for s, n in own.items()) >= suffix_tree_lm.MIN_GAIN:
+            fit.add(context)
+    assert b"cm" not in fit and b"acm" in fit
+    retained = {c[i:] for c in fit for i in range(len(c) + 1)} | {b""}
+    got = {(r.context.to_bytes(r.level, "big"), r.symbol): r.p for r in grown}
+    want = {(c, s): p[c][s] for c in retained for s in p[c]}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 # 6: brute force
 
 

@@ -12,6 +12,7 @@ size given by the vocabulary and the number of languages, which is checked.
 
 Words are runs of letters, lower-cased, led by the vocabulary's word marker. Bytes without
 a piece of their own have the vocabulary's byte pieces, so every word can be segmented.
+Sums are rescaled on their way, in words of any length, so rare bytes can't make them 0.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every
 text if nothing could be learned; null languages teach nothing; repeated rows count as
@@ -48,6 +49,10 @@ TABLE_WORDS = 150_000
 LONG_WORD = 160
 #: Probabilities are multiplied by this per byte so that words' sums stay near 1.
 SCALE = 24.0
+#: Sums below this or above its inverse are rescaled, looked for every so many bytes; between
+#: two looks even the rarest pieces leave them far from the ends of floating point.
+LEAST = 1e-30
+CHECK_PLACES = 4
 SIEVE_BITS = 16
 
 
@@ -143,32 +148,59 @@ class Lattice:
         self.last = self.first + sizes
         self.nodes = len(data) + len(words)
         self.sizes = sizes
+        self.longest = vocab.longest
         steps = []
         for n, at, ids in vocab.edges(data, np.repeat(sizes, sizes) - place):
             order = np.argsort(place[at], kind="stable")
             at, ids = at[order], ids[order]
             cuts = np.flatnonzero(np.diff(place[at])) + 1
             for a, i in zip(np.split(at, cuts), np.split(ids, cuts)):
-                steps.append((int(place[a[0]]), n, a + self.word[a], i, self.word[a]))
+                steps.append((int(place[a[0]]), n, a + self.word[a], i))
         self.steps = sorted(steps, key=lambda s: (s[0], s[1]))
 
-    def forward(self, prob: np.ndarray) -> np.ndarray:
+    def forward(self, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """Sums up to each node; the logs they lack at each word's end; and (place, nodes,
+        divisor) of each rescaling: of a word's node at the place and all that pieces from
+        before it reach."""
         alpha = np.zeros((self.nodes, prob.shape[1]))
         alpha[self.first] = 1.0
-        for _, n, at, ids, _ in self.steps:
+        logs = np.zeros((len(self.sizes), prob.shape[1]))
+        scalings: list = []
+        seen = 0
+        for place, n, at, ids in self.steps:
+            if place >= seen + CHECK_PLACES:
+                seen = place
+                self._rescale(alpha, logs, scalings, place)
             alpha[at + n] += alpha[at] * (prob[ids] * SCALE**n)
-        return alpha
+        return alpha, logs, scalings
+
+    def _rescale(self, alpha: np.ndarray, logs: np.ndarray, scalings: list, place: int) -> None:
+        words = np.flatnonzero(self.sizes >= place)
+        own = alpha[self.first[words] + place]
+        words = words[((own < LEAST) | (own > 1 / LEAST)).any(axis=1)]
+        if not len(words):
+            return
+        reach = (self.first[words] + place)[:, None] + np.arange(self.longest)
+        nodes = np.minimum(reach, self.last[words][:, None])
+        top = alpha[nodes].max(axis=1)
+        top[top == 0] = 1.0
+        alpha[nodes] /= top[:, None]
+        logs[words] += np.log(top)
+        scalings.append((place, nodes, top[:, None]))
 
     def log_sums(self, prob: np.ndarray) -> np.ndarray:
-        total = self.forward(prob)[self.last]
-        return np.log(total) - self.sizes[:, None] * np.log(SCALE)
+        alpha, logs, _ = self.forward(prob)
+        return np.log(alpha[self.last]) + logs - self.sizes[:, None] * np.log(SCALE)
 
     def expected(self, prob: np.ndarray, counts: np.ndarray, into: np.ndarray) -> None:
         """Add the expected counts of pieces in words that stand counts times."""
-        alpha = self.forward(prob)
+        alpha, _, scalings = self.forward(prob)
         beta = np.zeros_like(alpha)
         beta[self.last] = counts / alpha[self.last]
-        for _, n, at, ids, _ in reversed(self.steps):
+        for place, n, at, ids in reversed(self.steps):
+            while scalings and scalings[-1][0] > place:
+                _, nodes, top = scalings.pop()
+                beta[nodes] /= top
             carried = beta[at + n] * (prob[ids] * SCALE**n)
             beta[at] += carried
             share = carried * alpha[at]

@@ -459,6 +459,39 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(language_id.long_log_sums(vocab, coded, prob), row)
 
 
+def test_long_words_without_pieces_keep_finite_sums(spark):
+    vocab = language_id.vocabulary(sp_chunks.default_model())
+    letters = [chr(0x1D41A + i) for i in range(26)]
+    assert not any(c.encode() in vocab.pieces for c in letters)
+    rare = "".join(random.Random(13).choices(letters, k=60))
+    prob = np.random.default_rng(13).dirichlet(np.ones(vocab.size), 2).T
+    for c in range(256):
+        prob[vocab.pieces[bytes([c])]] = 0.05 / 1e9
+    words = [rare[:30], "the", "internationalisation", rare[30:42] + "the"]
+    coded = [b" " + w.encode() for w in words]
+    for w, row in zip(coded, language_id.word_sums(vocab, words, prob)):
+        assert np.isfinite(row).all() and np.allclose(language_id.long_log_sums(vocab, w, prob), row)
+    # Each byte is in one piece of a segmentation.
+    sizes = np.zeros(vocab.size)
+    for piece, i in vocab.pieces.items():
+        sizes[i] = len(piece)
+    into = np.zeros((vocab.size, 2))
+    coded += [rare.encode()[:160]]
+    counts = np.arange(1.0, 11.0).reshape(5, 2)
+    language_id.Lattice(vocab, coded).expected(prob, counts, into)
+    assert np.allclose(sizes @ into, np.array([len(w) for w in coded]) @ counts)
+    alone = np.zeros((vocab.size, 2))
+    for w, n in zip(coded, counts):
+        language_id.Lattice(vocab, [w]).expected(prob, n[None], alone)
+    assert np.allclose(into, alone)
+    en, fr = "the cat and the dog went over the hill", "le chat et la souris sont dans la maison"
+    rows = [(50 + i, en, "en") for i in range(9)] + [(80 + i, fr, "fr") for i in range(9)]
+    rows += [(100 + i, f"{en} {rare}", "en") for i in range(9)] + [(120, f"{fr} {rare[:30]}", None)]
+    got = {r.doc_id: r for r in language_id.predict(docs_of(spark, rows)).collect()}
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if lang)
+
+
 def test_languages(spark):
     en, fr = "the cat and the dog went over the hill with them", "le chat et la souris sont dans la maison avec eux"
     rows = [(50 + i, f"{en} {i}", "en") for i in range(40)] + [(100 + i, f"{fr} {i}", "fr") for i in range(40)]

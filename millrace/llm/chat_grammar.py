@@ -2,10 +2,11 @@
 
 Grammar of a conversation: turn*; turn: ``<s>`` role newline text ``</s>``. The parser is
 deterministic: split at ``</s>``, role up to the first newline, text behind it, then one
-backslash less in every escaped control string. A rendered text is reparsed and compared
-with its source turns; where they differ, the conflicting texts are escaped (one backslash
-more behind the first character of each control string, which is reversible) and the
-result is reparsed; a conversation that still differs stops the job.
+backslash less in every escaped control string; a text with a control string that is not
+escaped is rejected. Each turn is rendered and reparsed: where it differs from its source
+or is rejected, its text is escaped (one backslash more behind the first character of each
+control string, which is reversible), whatever its neighbours hold. The whole is reparsed;
+a conversation that still differs or is rejected stops the job.
 
 A conversation is dealt in segments of turn numbers, so that no task holds more of a long
 conversation than SEGMENT turn numbers. Rendering needs no other shuffle.
@@ -26,6 +27,7 @@ OPEN, CLOSE = "<s>", "</s>"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: First character, backslashes, rest of a control string.
 CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|</?SYS>>)"
+LIVE = r"[<\[](/?s>|/?INST\]|</?SYS>>)"
 ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\]|</?SYS>>)"
 
 #: Turn numbers per segment.
@@ -53,17 +55,30 @@ def unescape_role(role: Column) -> Column:
     return role
 
 
-def render(turns: Column, escaped: bool) -> Column:
+def _rendered(turn: Column, text: Column) -> Column:
+    return F.concat(F.lit(OPEN), escape_role(turn["role"]), F.lit("\n"), text, F.lit(CLOSE))
+
+
+def conflicts(turn: Column) -> Column:
+    """Whether the parser, given the turn's plain rendering, does not give the turn back."""
+    parsed = parse(_rendered(turn, turn["text"]))
+    same = _source(parsed) == _source(F.array(turn))
+    return ~same | F.exists(parsed, lambda t: t["live"])
+
+
+def render(turns: Column) -> Column:
+    """The text of turns that tell whether they conflict."""
+
     def one(turn: Column) -> Column:
-        text = escape(turn["text"]) if escaped else turn["text"]
-        head = F.concat(F.lit(OPEN), escape_role(turn["role"]), F.lit("\n"))
-        return F.concat(head, text, F.lit(CLOSE))
+        text = F.when(turn["conflict"], escape(turn["text"])).otherwise(turn["text"])
+        return _rendered(turn, text)
 
     return F.array_join(F.transform(turns, one), "")
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text, head>> of a rendered text; head: code points before the text."""
+    """array<struct<role, text, live, head, size>> of a rendered text; live: whether a control
+    string in the text is not escaped; head: code points before the text."""
     pieces = F.split(formatted, CLOSE, -1)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
 
@@ -73,6 +88,7 @@ def parse(formatted: Column) -> Column:
         return F.struct(
             unescape_role(_behind(role, len(OPEN))).alias("role"),
             unescape(_behind(piece, head)).alias("text"),
+            _behind(piece, head).rlike(LIVE).alias("live"),
             head.alias("head"),
             (F.length(piece) - head).alias("size"),
         )
@@ -112,7 +128,8 @@ def _loss_spans(parsed: Column) -> Column:
 
 def format_conversations(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(conv_id, segment, formatted, escaped, turns, loss_spans): a row per segment of a
-    conversation, in order of segment. turns are those read back from formatted."""
+    conversation, in order of segment. escaped: whether any text in it is; turns are those
+    read back from formatted."""
     rows = turns.select(
         "conv_id",
         F.floor(F.col("turn") / segment).alias("segment"),
@@ -126,22 +143,30 @@ def format_conversations(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         F.sort_array(F.collect_list("row")).alias("rows")
     )
     source = grouped.select("conv_id", "segment", _source(F.col("rows")).alias("source"))
-    plain = source.withColumn("plain", render(F.col("source"), escaped=False))
-    plain = plain.withColumn("same", _source(parse(F.col("plain"))) == F.col("source"))
-    done = plain.select(
+    flagged = source.withColumn(
+        "flagged",
+        F.transform(
+            "source",
+            lambda t: F.struct(
+                t["role"].alias("role"), t["text"].alias("text"), conflicts(t).alias("conflict")
+            ),
+        ),
+    )
+    done = flagged.select(
         "conv_id",
         "segment",
         "source",
-        (~F.col("same")).alias("escaped"),
-        F.when(F.col("same"), F.col("plain"))
-        .otherwise(render(F.col("source"), escaped=True))
-        .alias("formatted"),
+        F.exists("flagged", lambda t: t["conflict"]).alias("escaped"),
+        render(F.col("flagged")).alias("formatted"),
     ).withColumn("parsed", parse(F.col("formatted")))
     back = _source(F.col("parsed"))
     return done.select(
         "conv_id",
         "segment",
-        F.when(back == F.col("source"), F.col("formatted"))
+        F.when(
+            (back == F.col("source")) & ~F.exists("parsed", lambda t: t["live"]),
+            F.col("formatted"),
+        )
         .otherwise(F.raise_error(F.lit("a conversation does not survive the round trip")))
         .alias("formatted"),
         "escaped",

@@ -12,6 +12,8 @@ from millrace.llm import (
     decontaminate,
     jaccard_tiles,
     language_id,
+    mask_rank,
+    merkle_shift,
     pii_bootstrap,
     sentence_spans,
     sp_chunks,
@@ -75,6 +77,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(read_table(spark, sf_dir, "documents"))
 
 
+def op11_mask_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return mask_rank.ranked(docs, benchmark)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_shift.verified(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -86,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_jaccard": op9_jaccard,
     "op10_language_id": op10_language_id,
+    "op11_mask_rank": op11_mask_rank,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,4 +106,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_topk": topk_impacts.SQL,
     "op4_warc": warc_chunks.SQL,
     "op9_jaccard": jaccard_tiles.SQL,
+    "op11_mask_rank": mask_rank.SQL,
+    "op12_merkle": merkle_shift.SQL,
 }

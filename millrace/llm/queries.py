@@ -17,6 +17,7 @@ from millrace.llm import (
     pii_bootstrap,
     sentence_spans,
     sp_chunks,
+    suffix_dedup,
     suffix_tree_lm,
     topk_impacts,
     warc_chunks,
@@ -86,6 +87,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_shift.verified(read_table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = suffix_dedup.removed_runs(read_table(spark, sf_dir, "documents"))
+    return suffix_dedup.removal_digests(runs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_mask_rank": op11_mask_rank,
     "op12_merkle": op12_merkle,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +115,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_jaccard": jaccard_tiles.SQL,
     "op11_mask_rank": mask_rank.SQL,
     "op12_merkle": merkle_shift.SQL,
+    "op13_suffix_dedup": suffix_dedup.SQL,
 }

@@ -53,8 +53,7 @@ def test_terms_are_those_of_the_pattern():
         assert [t.decode() for t in mask_rank.terms_of(text)] == terms(text)
 
 
-def test_ranks_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(mask_rank, "STRIDE", 3)
+def test_ranks_equal_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(120)]
     odds = [1 / (i + 1) for i in range(120)]

@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,40 @@ def test_top_k_equals_brute_force(spark, passes):
     assert topk_impacts.top_k(frame.limit(0), asked).count() == 0
 
 
+def test_components_too_large_for_doubles_are_multiplied_exactly(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1, 1), rng.choice([0.0, 1e6, -2e6, 2.0**50, 0.3])]) for i in range(120)]
+    rows += [(200, [0.0, 1e300]), (300, [1.0, 0.0]), (301, [1e12, 5e-324]), (302, [-1e300, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    few = [r for r in rows if abs(r[1][1]) < 1e8 and abs(r[1][0]) < 1e13]
+    own = frame.filter("abs(embedding[1]) < 1e8 AND abs(embedding[0]) < 1e13")
+    asked = own.filter("vec_id % 10 = 0")
+    whole = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in few}
+    want = []
+    for q in whole:
+        if q % 10 == 0:
+            found = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:10])]
+    assert sorted(map(tuple, topk_impacts.top_k(own, asked, 10).collect())) == sorted(want)
+    assert topk_impacts.exact(np.array([1e300, -1e300, -0.3])) == [int(1e300) * 1024, -int(1e300) * 1024, -308]
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk_impacts.top_k(frame, frame.filter("vec_id = 200"), 10).collect()
+
+
+def test_few_postings_are_processed_where_vectors_form_groups():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    vectors = centres[rng.integers(0, 40, 4_000)] + rng.normal(size=(4_000, 32)) / 20
+    searcher = topk_impacts.Searcher({0: (0, vectors[0].tolist())}, 10)
+    for lo in range(0, 4_000, 1_000):
+        searcher.add(np.arange(lo, lo + 1_000), vectors[lo : lo + 1_000])
+    whole = np.floor(vectors * 1024).astype(np.int64)
+    scores = whole @ whole[0]
+    want = sorted(((int(s), i) for i, s in enumerate(scores) if i), key=lambda x: (-x[0], x[1]))[:10]
+    assert searcher.best[0] == want
+    assert searcher.touched < 0.6 * vectors.size and searcher.scored < 1_000
+
+
 # 4: exact round trip
 
 

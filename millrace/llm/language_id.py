@@ -7,12 +7,15 @@ distinct word of a block of documents is summed once, in numpy, many words at on
 
 Learning is expectation maximisation from equal probabilities: the expected count of each
 piece over all segmentations of all words of the labelled texts, by language, taken within
-tasks and summed by Spark. What is broadcast is the table of piece probabilities, of a
-size given by the vocabulary and the number of languages, which is checked.
+tasks and summed by Spark. It reads about LEARN_ROWS labelled rows of each language, chosen by
+a hash, and all rows of a language that has fewer; ``None`` reads all. Prediction reads every
+text whole. Languages are taken in passes of PASS_LANGUAGES; what is broadcast is one pass's
+table of piece probabilities, of a size given by that and the vocabulary.
 
-Words are runs of letters, lower-cased, led by the vocabulary's word marker. Bytes without
-a piece of their own have the vocabulary's byte pieces, so every word can be segmented.
-Sums are rescaled on their way, in words of any length, so rare bytes can't make them 0.
+Words are runs of letters (Unicode category L), lower-cased, led by the vocabulary's word
+marker. Bytes without a piece of their own have the vocabulary's byte pieces, so every word
+can be segmented. Sums are rescaled on their way, in words of any length, so rare bytes can't
+make them 0; long words are learnt and scored by the same sums as short ones.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every
 text if nothing could be learned; null languages teach nothing; repeated rows count as
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +40,20 @@ from millrace.llm.common import held_out, ship
 from millrace.llm.sp_chunks import default_model
 from millrace.llm.tokens import mix, weights
 
-LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-MAX_LANGUAGES = 512
+#: Labelled rows of each language that learning reads, about.
+LEARN_ROWS = 10_000
+HASH_BITS = 30
+#: Languages whose probabilities are broadcast at once.
+PASS_LANGUAGES = 512
 #: Added to every expected count.
 SMOOTHING = 0.05
 EM_ROUNDS = 1
-#: Distinct words summed at once, and kept per task.
-BATCH_WORDS = 20_000
+#: Bytes of words summed at once (one word may be longer), and words kept per task.
+BATCH_BYTES = 250_000
 TABLE_WORDS = 150_000
-#: Longest word, in bytes, summed together with others; longer ones are summed alone.
-LONG_WORD = 160
+#: Sums held at once: long words are summed for some languages after others.
+CELLS = 8_000_000
 #: Probabilities are multiplied by this per byte so that words' sums stay near 1.
 SCALE = 24.0
 #: Sums below this or above its inverse are rescaled, looked for every so many bytes; between
@@ -131,8 +138,17 @@ class Vocabulary:
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(model_path: str) -> Vocabulary:
-    return Vocabulary(model_path)
+def vocabulary(model_path: str | None = None) -> Vocabulary:
+    """Loaded where it is asked for: without a path, from that machine's own default."""
+    return Vocabulary(model_path or default_model())
+
+
+@functools.lru_cache(maxsize=1)
+def letters() -> re.Pattern:
+    """Runs of letters: of what counts as a word character, no digit, underscore or other
+    number."""
+    numbers = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()]
+    return re.compile(rf"[^\W\d_{''.join(map(re.escape, numbers))}]+")
 
 
 class Lattice:
@@ -208,44 +224,48 @@ class Lattice:
                 into[:, k] += np.bincount(ids, share[:, k], len(into))
 
 
-def long_log_sums(vocab: Vocabulary, word: bytes, prob: np.ndarray) -> np.ndarray:
-    """The same for one long word: a rolling window of sums, rescaled as it goes."""
-    window = np.zeros((vocab.longest + 1, prob.shape[1]))
-    window[0] = 1.0
-    logs = np.zeros(prob.shape[1])
-    for start in range(len(word)):
-        here = window[0]
-        for n in range(1, min(vocab.longest, len(word) - start) + 1):
-            piece = vocab.pieces.get(word[start : start + n])
-            if piece is not None:
-                window[n] += here * prob[piece]
-        window = np.roll(window, -1, axis=0)
-        window[-1] = 0.0
-        top = window.max(axis=0)
-        logs += np.log(top)
-        window /= top
-    return logs + np.log(window[0])
+def lattices(vocab: Vocabulary, words: list[bytes], languages: int) -> Iterator[tuple[list[int], Lattice, list[slice]]]:
+    """(places in words, their lattice, parts of the languages to sum it for): words of
+    about one length together, BATCH_BYTES at a time."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    lo = 0
+    while lo < len(order):
+        hi, size = lo, 0
+        while hi < len(order) and (hi == lo or size + len(words[order[hi]]) <= BATCH_BYTES):
+            size += len(words[order[hi]])
+            hi += 1
+        lattice = Lattice(vocab, [words[i] for i in order[lo:hi]])
+        step = max(1, CELLS // lattice.nodes)
+        yield order[lo:hi], lattice, [slice(k, k + step) for k in range(0, languages, step)]
+        lo = hi
 
 
 def word_sums(vocab: Vocabulary, words: list[str], prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
-    coded = [b" " + w.encode() for w in words]
     out = np.empty((len(words), prob.shape[1]))
-    short = [i for i, w in enumerate(coded) if len(w) <= LONG_WORD]
-    for lo in range(0, len(short), BATCH_WORDS):
-        some = short[lo : lo + BATCH_WORDS]
-        out[some] = Lattice(vocab, [coded[i] for i in some]).log_sums(prob)
-    for i, w in enumerate(coded):
-        if len(w) > LONG_WORD:
-            out[i] = long_log_sums(vocab, w, prob)
+    coded = [b" " + w.encode() for w in words]
+    for places, lattice, parts in lattices(vocab, coded, prob.shape[1]):
+        for part in parts:
+            out[places, part] = lattice.log_sums(prob[:, part])
     return out
 
 
+def expected_counts(vocab: Vocabulary, words: list[str], prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Expected counts of all pieces (pieces x languages), over all segmentations of the
+    words, each of which stands counts[word, language] times."""
+    into = np.zeros((vocab.size, prob.shape[1]))
+    coded = [b" " + w.encode() for w in words]
+    for places, lattice, parts in lattices(vocab, coded, prob.shape[1]):
+        for part in parts:
+            lattice.expected(prob[:, part], counts[places, part], into[:, part])
+    return into
+
+
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    return letters().findall(text.lower())
 
 
-def _count(shared, model_path: str):
+def _count(shared, model_path: str | None):
     """Expected counts of pieces by language, over a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,17 +276,8 @@ def _count(shared, model_path: str):
         table: dict[str, np.ndarray] = {}
 
         def flush() -> None:
-            # A word longer than LONG_WORD is cut here: it only teaches its pieces.
-            cut: dict[bytes, np.ndarray] = {}
-            for word, counts in table.items():
-                coded = b" " + word.encode()
-                for lo in range(0, len(coded), LONG_WORD):
-                    part = coded[lo : lo + LONG_WORD]
-                    cut[part] = cut[part] + counts if part in cut else counts
-            names = list(cut)
-            for lo in range(0, len(names), BATCH_WORDS):
-                some = names[lo : lo + BATCH_WORDS]
-                Lattice(vocab, some).expected(prob, np.array([cut[w] for w in some]), into)
+            if table:
+                into[:] += expected_counts(vocab, list(table), prob, np.array(list(table.values())))
             table.clear()
 
         for batch in batches:
@@ -288,43 +299,52 @@ def _count(shared, model_path: str):
     return run
 
 
+#: Piece probabilities (pieces x languages) and the languages, pass by pass in sorted order.
+Model = list[tuple[np.ndarray, list[str]]]
+
+
 def learn(
-    labelled: DataFrame, model_path: str | None = None, rounds: int = EM_ROUNDS
-) -> tuple[np.ndarray, list[str]]:
-    """Piece probabilities (pieces x languages) and the languages, from (text, lang)."""
+    labelled: DataFrame,
+    model_path: str | None = None,
+    rounds: int = EM_ROUNDS,
+    learn_rows: int | None = LEARN_ROWS,
+    pass_languages: int = PASS_LANGUAGES,
+) -> Model:
+    """The model of the languages in (text, lang); other columns only vary the choice of
+    rows, of which about learn_rows of each language are read."""
     spark = labelled.sparkSession
     ship(spark)
-    model_path = model_path or default_model()
-    rows = labelled.select("text", "lang").dropna()
-    names = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()
-    languages = sorted(r.lang for r in names)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: raise the bound on purpose")
+    rows = labelled.dropna(subset=["text", "lang"])
+    counted = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(counted)
     size = vocabulary(model_path).size
-    prob = np.full((size, len(languages)), 1.0 / size)
-    for _ in range(rounds if languages else 0):
-        shared = spark.sparkContext.broadcast((prob, languages))
-        counts = rows.mapInArrow(_count(shared, model_path), "piece long, lang long, n double")
-        # At most pieces x languages rows come back, however large the corpus.
-        summed = counts.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
-        piece, lang, n = (summed.column(c).to_numpy() for c in ("piece", "lang", "n"))
-        total = np.full((size, len(languages)), SMOOTHING)
-        total[piece, lang] += n
-        prob = total / total.sum(axis=0)
-    return prob, languages
-
-
-def identify(
-    docs: DataFrame, model: tuple[np.ndarray, list[str]], model_path: str | None = None
-) -> DataFrame:
-    """lang_pred and score from the column text alone, beside docs' other columns."""
-    spark = docs.sparkSession
-    ship(spark)
-    model_path = model_path or default_model()
-    shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
-    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    model: Model = []
+    for lo in range(0, len(languages), pass_languages):
+        names = languages[lo : lo + pass_languages]
+        shares = [min(1.0, learn_rows / counted[x]) if learn_rows is not None else 1.0 for x in names]
+        chosen = spark.createDataFrame(
+            [(x, int(share * (1 << HASH_BITS))) for x, share in zip(names, shares)], "lang string, share long"
+        )
+        drawn = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << HASH_BITS)) < F.col("share")
+        some = rows.join(F.broadcast(chosen), "lang").filter(drawn).select("text", "lang")
+        prob = np.full((size, len(names)), 1.0 / size)
+        for _ in range(rounds):
+            shared = spark.sparkContext.broadcast((prob, names))
+            counts = some.mapInArrow(_count(shared, model_path), "piece long, lang long, n double")
+            # At most pieces x languages rows come back, however large the corpus.
+            summed = counts.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+            piece, lang, n = (summed.column(c).to_numpy() for c in ("piece", "lang", "n"))
+            total = np.full((size, len(names)), SMOOTHING)
+            total[piece, lang] += n
+            prob = total / total.sum(axis=0)
+            shared.destroy()
+        model.append((prob, names))
+    return model
+
+
+def _score(shared, model_path: str | None):
+    """One pass of languages: the other columns as one, the text, lang_pred, its log probability ``best`` and
+    the log of all languages' summed probabilities ``every``, from those of earlier passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prob, languages = shared.value
@@ -334,29 +354,57 @@ def identify(
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                texts = [words_of(t) for t in piece.column(len(kept)).to_pylist()]
+                before = [piece.column(i).to_pylist() for i in range(1, 5)]
+                texts = [words_of(t) for t in before[0]]
                 if len(place) > TABLE_WORDS:
                     place, sums = {}, sums[:0]
                 new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in place]
-                if new and languages:
+                if new:
                     sums = np.concatenate([sums, word_sums(vocab, new, prob)])
                 place.update(zip(new, range(len(place), len(place) + len(new))))
-                names, scores = [], []
-                for words in texts:
-                    if not words or not languages:
-                        names.append(UNDETERMINED)
-                        scores.append(0.0)
-                        continue
-                    logs = sums[[place[w] for w in words]].sum(axis=0)
-                    best = int(np.argmax(logs))
-                    names.append(languages[best])
-                    scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
+                found = []
+                for words, name, best, every in zip(texts, *before[1:]):
+                    if words:
+                        logs = sums[[place[w] for w in words]].sum(axis=0)
+                        top = int(np.argmax(logs))
+                        if best is None or logs[top] > best:
+                            name, best = languages[top], float(logs[top])
+                        own = logs if every is None else np.append(logs, every)
+                        every = float(own.max() + np.log(np.exp(own - own.max()).sum()))
+                    found.append((name, best, every))
+                columns = zip(*found)
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores)],
-                    names=[*kept, "lang_pred", "score"],
+                    [*piece.columns[:2], *(pa.array(c, t) for c, t in zip(columns, _FOUND))],
+                    names=batch.schema.names,
                 )
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+_FOUND = (pa.string(), pa.float64(), pa.float64())
+
+
+def identify(docs: DataFrame, model: Model, model_path: str | None = None) -> DataFrame:
+    """lang_pred and score from the column text alone, beside docs' other columns; columns of
+    these two names give way."""
+    spark = docs.sparkSession
+    ship(spark)
+    kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    rows = docs.select(
+        F.struct(F.lit(0).alias("_"), *kept).alias("row"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.lit(None).cast("string").alias("lang_pred"),
+        F.lit(None).cast("double").alias("best"),
+        F.lit(None).cast("double").alias("every"),
+    )
+    for part in model:
+        shared = spark.sparkContext.broadcast(part)
+        rows = rows.mapInArrow(_score(shared, model_path), rows.schema)
+    return rows.select(
+        *[F.col("row")[c].alias(c) for c in kept],
+        F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"),
+        F.coalesce(F.exp(F.col("best") - F.col("every")), F.lit(0.0)).alias("score"),
+    )
 
 
 def predict(docs: DataFrame, model_path: str | None = None) -> DataFrame:

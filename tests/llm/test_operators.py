@@ -498,6 +498,104 @@ def test_passages_without_stops_are_found_in_any_surroundings(spark):
 # 10: all segmentations by brute force, held-out accuracy
 
 
+def rolling_log_sums(vocab, word, prob):
+    """Log probability of one word byte by byte: a rolling window of sums, rescaled."""
+    window = np.zeros((vocab.longest + 1, prob.shape[1]))
+    window[0] = 1.0
+    logs = np.zeros(prob.shape[1])
+    for start in range(len(word)):
+        here = window[0]
+        for n in range(1, min(vocab.longest, len(word) - start) + 1):
+            piece = vocab.pieces.get(word[start : start + n])
+            if piece is not None:
+                window[n] += here * prob[piece]
+        window = np.roll(window, -1, axis=0)
+        window[-1] = 0.0
+        top = window.max(axis=0)
+        logs += np.log(top)
+        window /= top
+    return logs + np.log(window[0])
+
+
+def segmentations(vocab, word):
+    if not word:
+        yield []
+    for n in range(1, min(vocab.longest, len(word)) + 1):
+        if word[:n] in vocab.pieces:
+            for rest in segmentations(vocab, word[n:]):
+                yield [vocab.pieces[word[:n]], *rest]
+
+
+def test_learning_equals_enumerated_segmentations(spark):
+    vocab = language_id.vocabulary()
+    rows = [(1, "Cats sat, the cat", "en"), (2, "les chats", "fr"), (3, "the the", "en"), (4, "½ ² x", "fr")]
+    (prob, names), = language_id.learn(docs_of(spark, rows), rounds=2)
+    assert names == ["en", "fr"]
+    want = np.full((vocab.size, 2), 1.0 / vocab.size)
+    for _ in range(2):
+        counts = np.full((vocab.size, 2), language_id.SMOOTHING)
+        for _, text, lang in rows:
+            k = names.index(lang)
+            for word in re.findall("[a-z]+", text.lower()):
+                ways = list(segmentations(vocab, b" " + word.encode()))
+                chances = np.array([np.prod(want[w, k]) for w in ways])
+                for way, chance in zip(ways, chances / chances.sum()):
+                    np.add.at(counts[:, k], way, chance)
+        want = counts / counts.sum(axis=0)
+    assert np.allclose(prob, want)
+    got = {r.doc_id: r for r in language_id.identify(docs_of(spark, rows), [(prob, names)]).collect()}
+    for i, text, _ in rows:
+        words = [b" " + w.encode() for w in re.findall("[a-z]+", text.lower())]
+        chances = [math.prod(sum(math.prod(want[w, k]) for w in segmentations(vocab, x)) for x in words) for k in (0, 1)]
+        assert got[i].lang_pred == names[int(chances[1] > chances[0])]
+        assert abs(got[i].score - max(chances) / sum(chances)) < 1e-9
+
+
+def test_long_words_are_learnt_whole():
+    vocab = language_id.vocabulary()
+    word = "".join(random.Random(4).choices("abcé中文字", k=400))
+    prob = np.random.default_rng(4).dirichlet(np.ones(vocab.size), 3).T
+    coded = b" " + word.encode()
+    got = language_id.expected_counts(vocab, [word], prob, np.ones((1, 3)))
+    # Expected counts are the slopes of the log probability along the logs of the pieces.
+    rng = np.random.default_rng(5)
+    for piece in rng.choice(np.flatnonzero(got[:, 0]), 12, replace=False):
+        more, less = prob.copy(), prob.copy()
+        more[piece] *= 1.0001
+        less[piece] /= 1.0001
+        slope = rolling_log_sums(vocab, coded, more) - rolling_log_sums(vocab, coded, less)
+        assert np.allclose(slope / (2 * np.log(1.0001)), got[piece], rtol=1e-4, atol=1e-6)
+
+
+def test_numbers_are_no_letters_and_languages_come_in_passes(spark):
+    names = ["en", "fr", "de", "es"]
+    texts = {
+        "en": "the cat and the dog went over the hill with them",
+        "fr": "le chat et la souris sont dans la maison avec eux",
+        "de": "der Hund und die Katze gehen über den Berg mit ihnen",
+        "es": "el gato y el perro van por la colina con ellos",
+    }
+    rows = [(100 * k + i, f"{texts[x]} {i}", x) for k, x in enumerate(names) for i in range(30)]
+    rows += [(900, "½ ² Ⅷ ①", "fr"), (901, "ªb", None)]
+    frame = docs_of(spark, rows)
+    whole, parts = (language_id.learn(frame, pass_languages=n) for n in (512, 3))
+    assert [len(p[1]) for p in parts] == [3, 1]
+    one, many = ({r.doc_id: r for r in language_id.identify(frame, m).collect()} for m in (whole, parts))
+    for i, _, lang in rows:
+        assert one[i].lang_pred == many[i].lang_pred and abs(one[i].score - many[i].score) < 1e-9
+        assert lang is None or i == 900 or one[i].lang_pred == lang
+    assert (one[900].lang_pred, one[900].score) == ("und", 0.0) and one[901].lang_pred != "und"
+
+
+def test_learning_reads_about_the_rows_stated_of_each_language(spark):
+    rows = [(i, f"word{'a' * (i % 50)}", "en") for i in range(3000)] + [(5000 + i, "mot", "fr") for i in range(5)]
+    (prob, _), = language_id.learn(docs_of(spark, rows), learn_rows=300)
+    # All five French rows are read whole: their counts are those of learning from all rows.
+    (every, _), = language_id.learn(docs_of(spark, rows), learn_rows=None)
+    assert np.allclose(prob[:, 1], every[:, 1])
+    assert not np.allclose(prob[:, 0], every[:, 0])
+
+
 def test_forward_sums_all_segmentations():
     vocab = language_id.vocabulary(sp_chunks.default_model())
     rng = np.random.default_rng(10)
@@ -515,7 +613,7 @@ def test_forward_sums_all_segmentations():
         coded = b" " + w.encode()
         for k in (0, 1):
             assert abs(row[k] - brute(coded, k)) < 1e-6
-        assert np.allclose(language_id.long_log_sums(vocab, coded, prob), row)
+        assert np.allclose(rolling_log_sums(vocab, coded, prob), row)
 
 
 def test_long_words_without_pieces_keep_finite_sums(spark):
@@ -529,7 +627,7 @@ def test_long_words_without_pieces_keep_finite_sums(spark):
     words = [rare[:30], "the", "internationalisation", rare[30:42] + "the"]
     coded = [b" " + w.encode() for w in words]
     for w, row in zip(coded, language_id.word_sums(vocab, words, prob)):
-        assert np.isfinite(row).all() and np.allclose(language_id.long_log_sums(vocab, w, prob), row)
+        assert np.isfinite(row).all() and np.allclose(rolling_log_sums(vocab, w, prob), row)
     # Each byte is in one piece of a segmentation.
     sizes = np.zeros(vocab.size)
     for piece, i in vocab.pieces.items():

@@ -15,6 +15,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import (
@@ -441,31 +442,69 @@ def test_contexts_below_unfit_ones_are_tested(spark):
 # 6: brute force
 
 
+def sentences(text):
+    """Words of the sentences, long ones in units, by plain reading."""
+    out, words = [], WORD.finditer(text)
+    words = [(m.group(), m.start(), m.end()) for m in words]
+    for i, (word, start, _) in enumerate(words):
+        gap = text[words[i - 1][2] : start] if i else ""
+        if i == 0 or "\n" in gap or words[i - 1][0][-1] in ".!?":
+            out.append([])
+        out[-1].append(ascii_lower(word))
+    units = []
+    for own in out:
+        cuts = sentence_spans.cuts_of([w.encode() for w in own]).tolist() if len(own) > sentence_spans.CUT_ABOVE else []
+        units += [tuple(own[a:b]) for a, b in zip([0, *cuts], [*cuts, len(own)])]
+    return units
+
+
+def test_sentences_are_those_of_plain_reading(monkeypatch):
+    rng = random.Random(6)
+    bits = ["a", "B.", "é!", "?", ".", " ", "  ", "\n", "\t", " \n ", "\u00a0", "中文", "x" * 40, "w w w w w w w w w "]
+    for slice_ in (1 << 20, 16):
+        monkeypatch.setattr(sentence_spans, "SLICE", slice_)
+        for _ in range(300):
+            text = "".join(rng.choices(bits, k=rng.randrange(30)))
+            got = [tuple(ascii_lower(w) for w in WORD.findall(text[a:b])) for a, b in sentence_spans.sentences_of(text)]
+            assert got == sentences(text)
+
+
 def test_repeated_spans_equal_brute_force(spark):
     rng = random.Random(9)
     pool = [f"sentence {i} has these {i} words in a row here." for i in range(8)]
     rows = [(1000 + i, " ".join(rng.choices(pool, k=rng.randrange(7))) + rng.choice(["", "\n\nEnd"]), "x") for i in range(60)]
-    rows += [(i, t, lang) for i, t, lang in AWKWARD if i not in (5, None)]
-    frame = docs_of(spark, rows)
+    rows += [(2000 + i % 7, " ".join(rng.choices(pool, k=5)), "x") for i in range(20)]
+    rows += [(None, " ".join(rng.choices(pool, k=5)), "x") for i in range(5)]
+    rows += [(5000, "own words only, none of them anywhere else. And these too, as they stand in no other text.", "x")]
+    rows += [(5000, " ".join(pool[:4]), "x"), *AWKWARD]
+    frame = docs_of(spark, rows).withColumn("tag", F.lit("clash")).withColumn("place", F.lit("clash"))
+    hashes = frame.select("doc_id", "text", F.xxhash64("text").alias("h")).distinct().collect()
+    order = sorted(hashes, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is None, r.h))
     first, runs = {}, []
-    for i, text, _ in sorted(rows, key=lambda r: r[0]):
-        parts = [ascii_lower(text[a:b]).split() for a, b in sentence_spans.sentences_of(text or "")]
+    for i, text, _ in order:
+        parts = sentences(text or "")
         for a in range(len(parts)):
             for b in range(a + 2, len(parts) + 1):
                 if sum(map(len, parts[a:b])) >= 15:
-                    run = tuple(tuple(p) for p in parts[a:b])
-                    runs.append((run, i, a, b))
-                    first.setdefault(run, (i, a))
+                    run = tuple(parts[a:b])
+                    runs.append((run, (i, text), a, b))
+                    first.setdefault(run, (i, text, a))
                     break
     gone = {}
-    for run, i, a, b in runs:
-        if first[run] != (i, a):
-            gone.setdefault(i, set()).update(range(a, b))
-    got = {r.doc_id: r for r in sentence_spans.remove_repeats(frame).collect()}
-    assert {i: set(r.removed) for i, r in got.items()} == {i: gone.get(i, set()) for i, _, _ in rows}
-    for i, text, _ in rows:
-        if not gone.get(i):
-            assert got[i].text == text
+    for run, key, a, b in runs:
+        if first[run] != (*key, a):
+            gone.setdefault(key, set()).update(range(a, b))
+    got = sentence_spans.remove_repeats(frame).collect()
+    plain = [(i, text, frozenset(gone.get((i, text), ()))) for i, text, _ in rows]
+    assert Counter((r.doc_id, r.n_sentences, r.n_removed, frozenset(r.removed)) for r in got) == Counter(
+        (i, len(sentences(t or "")), len(g), g) for i, t, g in plain
+    )
+    left = Counter((r.doc_id, tuple(itertools.chain(*sentences(r.text)))) for r in got if r.n_removed)
+    assert left == Counter(
+        (i, tuple(itertools.chain(*(s for n, s in enumerate(sentences(t)) if n not in g)))) for i, t, g in plain if g
+    )
+    assert Counter((r.doc_id, r.text) for r in got if not r.n_removed) == Counter((i, t) for i, t, g in plain if not g)
+    assert [t for i, t, g in plain if g and i == 5000] == [" ".join(pool[:4])]
     assert sentence_spans.remove_repeats(frame.limit(0)).count() == 0
 
 

@@ -31,8 +31,8 @@ def collection(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
     so that a length fits a byte. Ends of strings sort by string and are never equal."""
     count = lengths.size
     symbols = np.column_stack([symbols, np.zeros(count, symbols.dtype)])
-    string = np.arange(count, dtype=np.int32)
-    length = np.zeros(count, np.uint8)
+    # A suffix is its string's number << 8 | its length.
+    suffix = np.arange(count, dtype=np.uint32) << np.uint32(8)
     common = np.zeros(count, np.uint8)
     transform = np.where(lengths > 0, symbols[:, 0], 0).astype(np.uint8)
     newest = np.arange(count)  # places of the suffixes that the last round added
@@ -52,7 +52,7 @@ def collection(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
         prefix[joined] = _range_minima(common, before[joined] + 1, here[joined] + 1) + 1
         behind = _range_minima(common, here[follows] + 1, after[follows] + 1) + 1
 
-        strings = string[here]
+        strings = (suffix[here] >> np.uint32(8)).astype(np.int64)
         # The ends of all strings come first, then suffixes in the order of their symbols.
         spot = count + at - ended
         old = np.ones(transform.size + at.size, bool)
@@ -64,11 +64,10 @@ def collection(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
             out[spot] = added
             return out
 
-        string = merged(string, strings)
-        length = merged(length, np.full(at.size, size, np.uint8))
+        suffix = merged(suffix, (strings << 8 | size).astype(np.uint32))
         common = merged(common, prefix)
         common[spot[follows] + 1] = behind
         following = np.where(lengths[strings] > size, symbols[strings, size], 0)
         transform = merged(transform, following.astype(np.uint8))
         newest = spot
-    return string, length, common
+    return (suffix >> np.uint32(8)).astype(np.int64), (suffix & np.uint32(255)).astype(np.int64), common

@@ -40,22 +40,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.column_bwt import collection
-from millrace.llm.common import blocks_of, ship, staged
+from millrace.llm.common import ship, staged
+from millrace.llm.keyed import KEYS, in_order, keyed, lists_of, order_of, with_lists
 
 SPAN = 100
 ANCHOR = 32
-#: Strings that are sorted together, at most.
+#: Strings of one minimiser that are sorted together, at most; others are gathered to so many.
 BATCH = 8_192
-#: Bytes hashed at once.
-CHUNK = 1 << 18
+GATHERED = 4_096
+#: Bytes hashed at once: their hashes fit a core's cache.
+CHUNK = 1 << 15
 #: Segments held in a task before they are pre-aggregated and handed on.
-HELD = 400_000
+HELD = 200_000
 #: A place in a document is start << PLACE | number of windows << 1 | to be sorted.
 PLACE = 9
 #: Bits of a minimiser that tell its places apart: 2**LOW is more than a window's places.
 LOW = 7
 
-KEYS = "doc_id long, tag long"
 
 
 def _table(seed: int) -> np.ndarray:
@@ -181,20 +182,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
-def order_of(doc_id: pa.Array, tag: np.ndarray) -> np.ndarray:
-    """Rank of each row's document by (id, tag), null ids first; equal rows rank equally."""
-    known = np.asarray(doc_id.is_valid())
-    ids = np.asarray(doc_id.fill_null(0))
-    order = np.lexsort((tag, ids, known))
-    fresh = np.ones(order.size, bool)
-    fresh[1:] = (
-        (np.diff(tag[order]) != 0) | (np.diff(ids[order]) != 0) | (known[order][1:] != known[order][:-1])
-    )
-    rank = np.empty(order.size, np.int64)
-    rank[order] = np.cumsum(fresh) - 1
-    return rank
-
-
 def _rows(minimiser: np.ndarray, content: np.ndarray, doc_id: pa.Array, tag: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
@@ -296,23 +283,7 @@ def collapsed(rows: DataFrame, batch: int) -> DataFrame:
             many = size > batch
         yield from close()
 
-    dealt = rows.repartition(blocks_of(rows.sparkSession), "m")
-    dealt = dealt.sortWithinPartitions("m", "c", F.col("doc_id").asc_nulls_first(), "tag", "place")
-    return dealt.mapInArrow(pass_over, f"{KEYS}, place long, many boolean")
-
-
-def with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs with the rows of their key, which holds lists; null where there are none."""
-    rows = rows.withColumnsRenamed({"doc_id": "d", "tag": "t"})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))
-    return docs.join(rows, same, "left").drop("d", "t")
-
-
-def lists_of(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per document with its lists, no longer than the document's text."""
-    return rows.groupBy("doc_id", "tag").agg(
-        *[F.collect_list(c).alias(f"{c}s") for c in columns]
-    )
+    return in_order(rows, "m", "c").mapInArrow(pass_over, f"{KEYS}, place long, many boolean")
 
 
 def cut(rows: DataFrame, span: int, anchor: int, windows: bool) -> DataFrame:
@@ -406,7 +377,7 @@ def repeated_windows(strings: list[bytes], rank: np.ndarray, start: np.ndarray,
     return string[begins], at[begins], at[ends[: begins.size]] + 1
 
 
-def sorted_repeats(strings: DataFrame, span: int, batch: int) -> DataFrame:
+def sorted_repeats(strings: DataFrame, span: int) -> DataFrame:
     """(doc_id, tag, from, to): runs of windows that start earlier in another string of
     their minimiser, or in the same."""
 
@@ -416,7 +387,7 @@ def sorted_repeats(strings: DataFrame, span: int, batch: int) -> DataFrame:
             doc_id, tag = rows["doc_id"].combine_chunks(), np.asarray(rows["tag"])
             rank = order_of(doc_id, tag)
             found, first, last = repeated_windows(
-                rows["string"].to_pylist(), rank, np.asarray(rows["start"]), span
+                rows["string"].to_pylist(), rank, np.asarray(rows["place"]), span
             )
             return pa.RecordBatch.from_arrays(
                 [doc_id.take(pa.array(found)), pa.array(tag[found]), pa.array(first), pa.array(last)],
@@ -426,29 +397,22 @@ def sorted_repeats(strings: DataFrame, span: int, batch: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         size = 0
         for rows in batches:
-            while rows.num_rows:
-                # Whole minimisers only; one has at most ``batch`` strings.
-                if size + rows.num_rows <= 2 * batch:
-                    held.append(rows)
-                    size += rows.num_rows
-                    rows = rows.slice(rows.num_rows)
-                else:
-                    take = 2 * batch - size
-                    held.append(rows.slice(0, take))
-                    rows = rows.slice(take)
-                    size += take
-                if size < 2 * batch:
+            # Whole minimisers only; one has at most BATCH strings.
+            for at in range(0, rows.num_rows, GATHERED):
+                held.append(rows.slice(at, GATHERED))
+                size += held[-1].num_rows
+                if size < GATHERED:
                     continue
                 table = pa.Table.from_batches(held)
                 m = np.asarray(table["m"])
                 edge = int(np.flatnonzero(np.append(True, m[1:] != m[:-1]))[-1])
-                yield solved(table.slice(0, edge))
-                held, size = table.slice(edge).to_batches(), table.num_rows - edge
+                if edge:
+                    yield solved(table.slice(0, edge))
+                    held, size = table.slice(edge).to_batches(), table.num_rows - edge
         if size:
             yield solved(pa.Table.from_batches(held))
 
-    dealt = strings.repartition(blocks_of(strings.sparkSession), "m").sortWithinPartitions("m")
-    return dealt.mapInArrow(sort, f"{KEYS}, `from` long, `to` long")
+    return in_order(strings.withColumnRenamed("start", "place"), "m").mapInArrow(sort, f"{KEYS}, `from` long, `to` long")
 
 
 def _removed(places: np.ndarray, froms: np.ndarray, tos: np.ndarray, windows: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -476,29 +440,23 @@ def removed_runs(
         raise ValueError(f"anchor must be at most span, and span at most {1 << LOW}")
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shared_id = rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    tag = F.lit(0).cast("long") if shared_id else F.xxhash64("text")
-    rows = rows.withColumn("tag", tag)
+    rows, distinct = keyed(docs)
 
     found = staged(collapsed(first_segments(rows, span, anchor, chunk), batch), "suffix-segments")
     kept = found.filter(~F.col("many")).select("doc_id", "tag", "place")
-    distinct = rows if shared_id else rows.dropDuplicates(["doc_id", "tag"])
 
     def texts_at(places: DataFrame) -> DataFrame:
-        return with_texts(distinct, lists_of(places, ["place"])).filter(F.col("places").isNotNull())
+        return with_lists(distinct, lists_of(places, "place")).filter(F.col("places").isNotNull())
 
     strings = cut(texts_at(kept.filter(F.col("place") % 2 == 1)), span, anchor, windows=False)
-    runs = staged(sorted_repeats(strings, span, batch), "suffix-runs")
+    runs = staged(sorted_repeats(strings, span), "suffix-runs")
     many = found.filter("many")
     if not many.isEmpty():
         single = cut(texts_at(many.select("doc_id", "tag", "place")), span, anchor, windows=True)
         kept = kept.unionByName(collapsed(single, batch).select("doc_id", "tag", "place"))
 
-    lists = lists_of(kept, ["place"])
-    more = lists_of(runs, ["from", "to"]).withColumnsRenamed({"doc_id": "d", "tag": "t"})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))
-    joined = with_texts(rows, lists.join(more, same, "left").drop("d", "t"))
+    lists = lists_of(kept, "place")
+    joined = with_lists(rows, with_lists(lists, lists_of(runs, "from", "to")))
     none = np.zeros(0, np.int64)
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +39,8 @@ from millrace.llm.common import held_out, ship
 from millrace.llm.sp_chunks import default_model
 from millrace.llm.tokens import mix, weights
 
+#: Runs of word characters but digits and underscores: letters and other numbers.
+LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Labelled rows of each language that learning reads, about.
 LEARN_ROWS = 10_000
@@ -143,14 +144,6 @@ def vocabulary(model_path: str | None = None) -> Vocabulary:
     return Vocabulary(model_path or default_model())
 
 
-@functools.lru_cache(maxsize=1)
-def letters() -> re.Pattern:
-    """Runs of letters: of what counts as a word character, no digit, underscore or other
-    number."""
-    numbers = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()]
-    return re.compile(rf"[^\W\d_{''.join(map(re.escape, numbers))}]+")
-
-
 class Lattice:
     """The segmentations of some words: pieces grouped by start within the word."""
 
@@ -262,7 +255,11 @@ def expected_counts(vocab: Vocabulary, words: list[str], prob: np.ndarray, count
 
 
 def words_of(text: str) -> list[str]:
-    return letters().findall(text.lower())
+    words = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    # Numbers that are no digits, such as fractions, part words.
+    return "".join(c if c.isalpha() else " " for w in words for c in (*w, " ")).split()
 
 
 def _count(shared, model_path: str | None):

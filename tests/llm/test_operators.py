@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -373,6 +374,85 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert texts[3] == "please write to: [EMAIL] now" and texts[101] == rows[13][1]
 
 
+def scores_of(edges, seeds, rounds):
+    """Confidence and support of each pattern, by the rule of the module's docstring."""
+    values = {v for _, v in edges}
+    trust = {(p, v): float(v in seeds) for p, v in edges}
+    for number in range(rounds):
+        patterns = {}
+        for p in {p for p, _ in edges}:
+            own = [trust[e] for e in edges if e[0] == p]
+            support = sum(t >= pii_bootstrap.TRUSTED for t in own)
+            patterns[p] = (sum(own) / (len(own) + pii_bootstrap.SMOOTHING), support)
+        if number == rounds - 1:
+            return patterns
+        for p, v in edges:
+            if v not in seeds:
+                others = [patterns[q] for q, w in edges if w == v and q != p]
+                wrong = math.prod(1 - min(c, 0.999) for c, n in others if n >= pii_bootstrap.MIN_SEEDS)
+                trust[p, v] = pii_bootstrap.DECAY * (1 - wrong)
+    assert values
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 6])
+def test_pattern_scores_equal_plain_iteration(spark, rounds):
+    rng = random.Random(rounds)
+    edges = sorted({(f"p{rng.randrange(12)}", f"v{rng.randrange(30)}") for _ in range(110)})
+    seeds = {f"v{i}" for i in range(14)}
+    rows = [(p, v, v in seeds and rng.random() < 0.7) for p, v in edges for _ in range(rng.randrange(1, 3))]
+    known = {v for _, v, seed in rows if seed}
+    frame = spark.createDataFrame(rows, "pattern string, value string, seed boolean")
+    got = {r.pattern: (r.confidence, r.seeds) for r in pii_bootstrap.confident_patterns(frame, rounds, 0.0, 0).collect()}
+    # With no bound on seeds every pattern spreads, so the bound is put to the plain one too.
+    want = scores_of(edges, known, rounds)
+    if rounds == 1:
+        assert got.keys() == want.keys()
+    chosen = pii_bootstrap.confident_patterns(frame, rounds, 0.3).collect()
+    assert {r.pattern for r in chosen} == {p for p, (c, n) in want.items() if c >= 0.3 and n >= 3}
+    assert all(abs(r.confidence - want[r.pattern][0]) < 1e-9 and r.seeds == want[r.pattern][1] for r in chosen)
+
+
+def test_discovered_identifiers_support_further_patterns(spark):
+    rows = [(i, f"please write to user{i}@mail.example.com", "en") for i in range(8)]
+    rows += [(100 + i, f"please write to XQ-77{i}012", "en") for i in range(3)]
+    rows += [(200 + i, f"account number is XQ-77{i}012", "en") for i in range(3)]
+    rows += [(300, "account number is ZZ-551234", "en"), (301, "room number: ZZ-991234", "en")]
+    spans = {r.doc_id: r.spans for r in pii_bootstrap.span_digests(pii_bootstrap.find_spans(docs_of(spark, rows))).collect()}
+    assert spans[100] == "context:16:25" and spans[200] == "context:18:27"
+    assert spans[300] == "context:18:27" and spans[301] == ""
+
+
+def test_lists_of_identifiers_and_long_words_have_patterns(spark):
+    text = "write to: a@x.org, AB-99-7712, CD-11-2233 " + "y" * 500 + " " + "z" * 300 + " EF-1234"
+    found = pii_bootstrap.base_and_instances(docs_of(spark, [(1, text, "en")]))
+    got = {r.value: (r.pattern, r.seed) for r in pii_bootstrap.instances_of(found).collect()}
+    mark = pii_bootstrap.MARK
+    assert got == {
+        "a@x.org": ("write to:", True),
+        "ab-99-7712": (f"to: {mark},", False),
+        "cd-11-2233": (f"{mark}, {mark},", False),
+        "ef-1234": ("y" * 500 + " " + "z" * 300, False),
+    }
+
+
+def test_many_matches_in_one_text_take_seconds(spark):
+    lines = [f"mail to user{i}@example.com now" for i in range(100_000)]
+    frame = docs_of(spark, [(1, "\n".join(lines), "en")])
+    start = time.perf_counter()
+    (row,) = pii_bootstrap.find_spans(frame).collect()
+    assert len(row.spans) == 100_000
+    assert [(s.start, s.end) for s in row.spans[-1:]] == [(sum(map(len, lines)) + 99_999 - 25, sum(map(len, lines)) + 99_999 - 4)]
+    (out,) = pii_bootstrap.redacted(frame).collect()
+    assert out.text == "\n".join(["mail to [EMAIL] now"] * 100_000)
+    assert time.perf_counter() - start < 120
+
+
+def test_spans_that_overlap_are_replaced_as_one(spark):
+    texts = ["call +49 30 1234567@example.com now", "+49 30 1234567@example.com", "a@b.cc and 1.2.3.4", "é 1.2.3.4", "😀 none"]
+    out = {r.doc_id: r.text for r in pii_bootstrap.redacted(docs_of(spark, [(i, t, "x") for i, t in enumerate(texts)])).collect()}
+    assert out == {0: "call [PHONE] now", 1: "[PHONE]", 2: "[EMAIL] and [IP]", 3: "é [IP]", 4: "😀 none"}
+
+
 # 5: brute force for the counts, a proper model for the score
 
 
@@ -623,6 +703,7 @@ def test_numbers_are_no_letters_and_languages_come_in_passes(spark):
     for i, _, lang in rows:
         assert one[i].lang_pred == many[i].lang_pred and abs(one[i].score - many[i].score) < 1e-9
         assert lang is None or i == 900 or one[i].lang_pred == lang
+    assert language_id.words_of("a½b Ⅷ cd²é 中①文") == ["a", "b", "cd", "é", "中", "文"]
     assert (one[900].lang_pred, one[900].score) == ("und", 0.0) and one[901].lang_pred != "und"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -47,25 +48,46 @@ def _local_shared_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-    A folder of our own is set only where that is unset (one machine, tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, else
+    the checkpoint folder of its context. On one machine, where both are unset (tests), a folder
+    of our own; on a cluster that is an error, as each executor would write to its own disk."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path:
         return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = _local_shared_dir()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+    context.setCheckpointDir(path)
     return path
 
 
+#: Intermediate tables of this process that were not removed yet.
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+    The table stays until ``forget_staged``, since what is returned may be read any time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_paths() -> list[str]:
+    return list(_STAGED)
+
+
+def forget_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Remove intermediate tables; nothing that reads them may be used any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _STAGED.remove(name)
+
+
 def blocks_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

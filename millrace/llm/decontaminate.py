@@ -228,6 +228,10 @@ def _search(shared, threshold: float, minimum: int, schema: str):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item leaks into, with all their columns."""
-    dirty = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that no item leaks into, with all their columns. Rows are told apart by id and
+    text, so a null or repeated id neither saves nor condemns another row."""
+    tag = F.xxhash64("text")
+    rows = docs.select(F.struct("doc_id", tag.alias("tag")).alias("doc_id"), "text")
+    dirty = leaks(rows, benchmark).select(F.col("doc_id.doc_id").alias("__d"), F.col("doc_id.tag").alias("__t"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (tag == F.col("__t"))
+    return docs.join(dirty.distinct(), same, "left_anti").select(*docs.columns)

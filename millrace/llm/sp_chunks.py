@@ -86,15 +86,15 @@ def chunks_are_safe(model) -> bool:
 
 
 @functools.lru_cache(maxsize=4)
-def load(model_path: str):
+def load(model_path: str | None):
     """The model, whether chunks are safe, and the id of a lone marker; once per worker."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    model = sentencepiece.SentencePieceProcessor(model_file=model_path or default_model())
     return model, chunks_are_safe(model), model.piece_to_id(MARK)
 
 
-def encode_block(texts: list[str], table: dict, model_path: str) -> list[tuple[list, str]]:
+def encode_block(texts: list[str], table: dict, model_path: str | None) -> list[tuple[list, str]]:
     """Ids (with the end id) and decoded text of each text. table: chunk -> (ids, text)."""
     model, safe, lone = load(model_path)
     end = model.eos_id()
@@ -121,7 +121,6 @@ def encode_documents(
 ) -> DataFrame:
     """(key, ids array<int>, decoded string): one row per row of docs, end id included."""
     ship(docs.sparkSession)
-    model_path = model_path or default_model()
     rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 

@@ -24,7 +24,7 @@ def test_bench_prints_one_json_line():
     ).stdout
     (line,) = out.strip().splitlines()
     report = json.loads(line)
-    assert set(report) == {"metric", "value", "unit", "queries", "sf"}
+    assert set(report) == {"metric", "value", "unit", "queries", "sf", "cold"}
     assert report["unit"] == "sec" and report["sf"] == 0.001
     assert set(report["queries"]) == set(__spark_entry__.queries())
     assert all(seconds > 0 for seconds in report["queries"].values())

@@ -1,9 +1,10 @@
 """WARC archives through a table of record chunks (operator 4).
 
-Writing: a record's payload is cut into chunks of at most CHUNK_BYTES. The first chunk is
-a response record, later ones are continuation records with segment numbers, as the format
-has for long payloads. Each carries the digest of the payload so far, kept up while the
-chunks stream by. A payload is also cut inside every ``WARC/1.1``, so that this string
+Writing: a record's payload is cut into chunks of at most CHUNK_BYTES, rows of record key and
+chunk number, before any of it reaches Python. The first chunk is a response record, later
+ones are continuation records with segment numbers, as the format has for long payloads. Each
+carries the digest of the payload so far, kept up while the chunks stream by; what is handed on
+at once is bounded in bytes, and no whole record is built. A payload is also cut inside every ``WARC/1.1``, so that this string
 stands only at a record's start and Spark's text reader can split the archives at it.
 Archives are compressed files of at most FILE_RECORDS records, so they are read in parallel
 file by file.
@@ -14,7 +15,8 @@ streamed through a running digest. A task never holds more of a payload than one
 chunks. The archives are written and read by Spark's own writers, in the shared folder.
 
 Of records with equal payloads of at least MIN_REVISIT bytes, that with the largest id is
-a response and the others revisit it without a payload.
+a response and the others revisit it without a payload. That is found from ids, sizes and
+digests; payloads are not shuffled for it unless more than BROADCAST_ROWS payloads have copies.
 
 Defined results: null html is an empty payload; null url has no target line; a null id is
 a record of its own that neither revisits nor is revisited; rows with equal id and payload
@@ -24,21 +26,27 @@ are all responses or all revisits; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks_of, in_two_stages, shared_dir, ship
+from millrace.llm.common import blocks_of, in_two_stages, shared_dir, ship, staged
 
 CHUNK_BYTES = 16_384
 MIN_REVISIT = 1_000
 FILE_RECORDS = 20_000
 #: Chunks per Arrow batch of the running digest: bounds what a task holds.
 BATCH_CHUNKS = 256
+#: Bytes of records that a writing task hands on at once.
+BATCH_BYTES = 4_000_000
+#: Payloads with copies whose digests are broadcast, at most: about 64 bytes each.
+BROADCAST_ROWS = 400_000
 
 VERSION = b"WARC/1.1"
 START = "WARC/1.1\r\n"
@@ -61,84 +69,126 @@ def with_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
         .filter("n > 1")
         .select("digest", "largest")
     )
-    found = rows.join(in_two_stages(copies), "digest", "left")
+    copies = staged(copies, "warc-copies")
+    few = copies.count() <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(copies) if few else in_two_stages(copies), "digest", "left")
     return found.select(
         "page_id", "url", "html", "size", "digest",
         F.when(F.col("largest") != F.col("page_id"), F.col("largest")).alias("refers_to"),
     )
 
 
-def chunks_of(payload: memoryview, size: int) -> Iterator[memoryview]:
-    """Views of at most size bytes, cut inside each version string; one for no payload."""
-    cuts, at, whole = [], 0, payload.obj if isinstance(payload.obj, bytes) else bytes(payload)
-    while (at := whole.find(VERSION, at)) >= 0:
-        cuts.append(at + 1)
-        at += len(VERSION)
-    cuts.append(len(payload))
+def payload_chunks(pages: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(record_key, page_id, url, size, digest, refers_to, data): the rows of with_roles by
+    chunk, those of a record behind each other in order; revisits have one without bytes."""
+    rows = pages.withColumn("record_key", F.expr("uuid()"))
+    response = F.col("refers_to").isNull()
+    chunks = F.when(response, F.ceil(F.col("size") / chunk_bytes)).otherwise(0)
+    number = F.sequence(F.lit(0), F.greatest(chunks.cast("int"), F.lit(1)) - 1)
+    rows = rows.withColumn("html", F.col("html").cast("binary")).withColumn("number", F.explode(number))
+    part = F.substring("html", F.col("number") * chunk_bytes + 1, F.lit(chunk_bytes))
+    return rows.select(
+        "record_key",
+        "page_id",
+        "url",
+        "size",
+        "digest",
+        "refers_to",
+        F.when(response, part).otherwise(F.lit(b"")).alias("data"),
+    )
+
+
+def views_of(data: pa.Array) -> list[memoryview]:
+    """The values of a binary column without nulls, not copied."""
+    _, offsets, values = data.buffers()
+    ends = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1].tolist()
+    whole = memoryview(values) if values is not None else memoryview(b"")
+    return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def cut_at_versions(chunk: memoryview) -> Iterator[memoryview]:
+    """The chunk, cut inside each version string; itself if it is empty."""
     first = 0
-    for cut in cuts:
-        for lo in range(first, cut, size):
-            yield payload[lo : min(lo + size, cut)]
-        first = cut
-    if not len(payload):
-        yield payload
-
-
-def records_of(row: dict, chunk_bytes: int) -> Iterator[bytes]:
-    """The records of a page without their last line break, which the writer adds."""
-    page, url, refers = row["page_id"], row["url"], row["refers_to"]
-    # A page table has no fetch time: the date is fixed, so that archives are repeatable.
-    head = [
-        f"WARC-Record-ID: <{ID}{'' if page is None else page}>",
-        "WARC-Date: 1970-01-01T00:00:00Z",
-        f"X-Row: {uuid.uuid4().hex}",
-        f"X-Payload-Length: {row['size']}",
-        f"WARC-Payload-Digest: sha1:{row['digest']}",
-    ]
-    if url is not None:
-        address = quote(url, safe="!#$%&'()*+,/:;=?@[]~").replace("WARC/1.1", "WARC%2F1.1")
-        head.append(f"WARC-Target-URI: {address}")
-    if refers is not None:
-        head += [
+    for found in re.finditer(VERSION, chunk):
+        yield chunk[first : found.start() + 1]
+        first = found.start() + 1
+    yield chunk[first:]
+
+
+class RecordWriter:
+    """Records of the chunks of one payload after another."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.running, self.number, self.done = hashlib.sha1(), 0, 0
+        page, url = row["page_id"], row["url"]
+        # A page table has no fetch time: the date is fixed, so that archives are repeatable.
+        self.head = [
+            f"WARC-Record-ID: <{ID}{'' if page is None else page}>",
+            "WARC-Date: 1970-01-01T00:00:00Z",
+            f"X-Row: {row['record_key']}",
+            f"X-Payload-Length: {row['size']}",
+            f"WARC-Payload-Digest: sha1:{row['digest']}",
+        ]
+        if url is not None:
+            address = quote(url, safe="!#$%&'()*+,/:;=?@[]~").replace("WARC/1.1", "WARC%2F1.1")
+            self.head.append(f"WARC-Target-URI: {address}")
+
+    def revisit(self) -> bytes:
+        own = [
             "WARC-Type: revisit",
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <{ID}{refers}>",
+            f"WARC-Refers-To: <{ID}{self.row['refers_to']}>",
             "Content-Length: 0",
         ]
-        yield (START + "\r\n".join(head) + BREAK).encode() + b"\r\n"
-        return
-    payload = memoryview(row["html"])
-    running, done = hashlib.sha1(), 0
-    for number, chunk in enumerate(chunks_of(payload, chunk_bytes), 1):
-        running.update(chunk)
-        done += len(chunk)
-        kind = "response" if number == 1 else "continuation"
+        return (START + "\r\n".join(self.head + own) + BREAK).encode() + b"\r\n"
+
+    def record(self, chunk: memoryview) -> bytes:
+        """Without its last line break, which the writer of the archive adds."""
+        self.number += 1
+        self.running.update(chunk)
+        self.done += len(chunk)
         own = [
-            f"WARC-Type: {kind}",
-            f"WARC-Segment-Number: {number}",
-            f"X-Digest-So-Far: sha1:{running.hexdigest()}",
+            f"WARC-Type: {'response' if self.number == 1 else 'continuation'}",
+            f"WARC-Segment-Number: {self.number}",
+            f"X-Digest-So-Far: sha1:{self.running.hexdigest()}",
             f"Content-Length: {len(chunk)}",
         ]
-        if done == len(payload):
-            own.append(f"WARC-Segment-Total-Length: {len(payload)}")
-        yield b"".join([(START + "\r\n".join(head + own) + BREAK).encode(), chunk, b"\r\n"])
+        if self.done == self.row["size"]:
+            own.append(f"WARC-Segment-Total-Length: {self.done}")
+        return b"".join([(START + "\r\n".join(self.head + own) + BREAK).encode(), chunk, b"\r\n"])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    writer: RecordWriter | None = None
+    out: list[bytes] = []
+    size = 0
+
+    def handed_on() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    for batch in batches:
+        heads = batch.select(batch.schema.names[:-1]).to_pylist()
+        for row, chunk in zip(heads, views_of(batch["data"]), strict=True):
+            if writer is None or writer.row["record_key"] != row["record_key"]:
+                writer = RecordWriter(row)
+            if row["refers_to"] is not None:
+                out.append(writer.revisit())
+                size += len(out[-1])
+            else:
+                for part in cut_at_versions(chunk):
+                    out.append(writer.record(part))
+                    size += len(out[-1])
+            if size >= BATCH_BYTES:
+                yield handed_on()
+                out, size = [], 0
+    if out:
+        yield handed_on()
 
 
 def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> None:
     ship(pages.sparkSession)
-    rows = with_roles(pages).withColumn("html", F.col("html").cast("binary"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out = [
-                    record
-                    for row in batch.slice(at, 256).to_pylist()
-                    for record in records_of(row, chunk_bytes)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    records = rows.mapInArrow(run, "record binary")
+    records = payload_chunks(with_roles(pages), chunk_bytes).mapInArrow(_records, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option(
         "lineSep", "\r\n"
     ).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)

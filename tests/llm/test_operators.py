@@ -222,6 +222,44 @@ def test_archives_give_back_every_payload(spark):
     assert warc_chunks.round_trip(frame.limit(0)).count() == 0
 
 
+def test_long_payloads_are_streamed_by_bytes(monkeypatch):
+    """Tasks hand on a bounded number of bytes, however long a payload is and whatever is in it."""
+    monkeypatch.setattr(warc_chunks, "BATCH_BYTES", 100_000)
+    payload = (b"x" * 3_000 + b"WARC/1.1") * 900
+    cuts = [payload[i : i + 16_384] for i in range(0, len(payload), 16_384)]
+    names = ["record_key", "page_id", "url", "size", "digest", "refers_to", "data"]
+    digest = hashlib.sha1(payload).hexdigest()
+
+    def batches():
+        for lo in range(0, len(cuts), 3):
+            some = cuts[lo : lo + 3]
+            heads = [["k"], [5], ["u"], [len(payload)], [digest], [None]]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = [pa.array(h * len(some), k) for h, k in zip(heads, kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(some, pa.binary())], names)
+
+    data, sizes = [], []
+    for out in warc_chunks._records(batches()):
+        records = out["record"].to_pylist()
+        sizes.append(sum(map(len, records)))
+        data += [r.split(b"\r\n\r\n", 1)[1][:-2] for r in records]
+        assert all(r.count(b"WARC/1.1") == 1 for r in records)
+    assert b"".join(data) == payload and len(sizes) > 20 and max(sizes) < 100_000 + 2 * 16_384
+
+
+def test_many_large_payloads(spark):
+    rows = spark.range(200).select(
+        F.col("id").alias("page_id"),
+        F.lit("u").alias("url"),
+        F.concat(F.repeat(F.concat(F.lit("<p>text "), (F.col("id") % 150).cast("string")), 200_000), F.lit("WARC/1.1")).alias("html"),
+    )
+    out = warc_chunks.round_trip(rows.repartition(8), chunk_bytes=1 << 20)
+    want = rows.select(F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1("html").alias("payload_digest"))
+    got = out.groupBy("record_type").count().collect()
+    assert {r.record_type: r["count"] for r in got} == {"response": 150, "revisit": 50}
+    assert out.select(want.columns).exceptAll(want).count() == 0 and out.count() == 200
+
+
 # 1: brute force on planted passages
 
 

@@ -19,11 +19,11 @@ when 100 * intersection >= PERCENT * union.
 
 Prefix groups and candidate groups of any size are dealt in blocks of about BLOCK members
 (2 * BLOCK at most, but for the chance of the deal), and every pair of blocks is a tile, so
-no tile has more than two blocks. The sketch bounds the group of a frequent shingle, whose
-members are dealt before they meet; a group that the sketch took for a small one is cut by
-its real size. Nothing is capped: the work of a large group grows, its tiles do not. The
-sketch is 2**SKETCH_BITS cells; with more text than suits them (four million suit tens of
-GB) fewer frequent shingles are told apart, which costs pairs to compare, not links.
+no tile has more than two blocks. The classes of each prefix shingle are counted exactly, and
+the members of a frequent one are dealt by that count before they meet, so no row or task
+gathers them, whatever the sketch says. Nothing is capped: the work of a large group grows, its
+tiles do not. The sketch is 2**SKETCH_BITS cells; with more text than suits them (four million
+suit tens of GB) fewer frequent shingles come last, which costs pairs to compare, not links.
 
 Defined results: null or empty text, or text without words, is an empty set and links with
 nothing; with fewer words than SHINGLE the whole sequence is the one shingle; rows with a
@@ -52,6 +52,8 @@ SLICES = 64
 BLOCK = 1_024
 BLOCK_SHINGLES = 2_000_000
 MIN_BITS, MAX_BITS = 64, 1 << 16
+#: Frequent shingles that are broadcast, at most: 16 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 def _slots(sets: np.ndarray, bits: int) -> np.ndarray:
@@ -96,9 +98,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _slices(total, 0)
 
 
-def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[np.ndarray, float]:
-    """log2 of each cell's count above the usual one: one byte per cell, whatever the corpus.
-    And the usual count."""
+def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """log2 of each cell's count above the usual one: one byte per cell, whatever the corpus."""
     schema = "slice int, salt int, cells binary"
     parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count(bits), schema)
     # A task's slices are put together in two steps, so that no slice is one task's work.
@@ -109,16 +110,7 @@ def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[np.ndarray, float]
         cells[row["slice"]] = np.frombuffer(zlib.decompress(row["cells"]), np.uint64)
     flat = cells.ravel().astype(np.float64)
     usual = 2 * flat.mean()
-    return np.floor(np.log2(np.maximum(flat - usual, 0) + 1)).astype(np.uint8), usual
-
-
-def blocks_by_level(usual: float) -> np.ndarray:
-    """Blocks for the members of a shingle, by its cell's level: a cell of that level counts
-    fewer than 2**(level + 1) above the usual. One for levels that tell nothing frequent."""
-    levels = np.arange(64)
-    most = np.exp2(levels + 1) + usual
-    blocks = np.maximum(np.round(most / (2 * BLOCK)), 1)
-    return np.where(levels < BLOCK.bit_length(), 1, np.minimum(blocks, 2.0**62)).astype(np.int64)
+    return np.floor(np.log2(np.maximum(flat - usual, 0) + 1)).astype(np.uint8)
 
 
 def bitmap_bits(size: int) -> int:
@@ -137,7 +129,7 @@ def prefix_size(size: int) -> int:
 
 def _describe(shared, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, blocks = shared.value
+        order = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
@@ -155,27 +147,25 @@ def _describe(shared, bits: int):
                             again.sum(dtype=np.uint64).astype(np.int64) if size else 0,
                             bitmap(found, bitmap_bits(size)),
                             found[first].view(np.int64),
-                            blocks[level[first]],
                         )
                     )
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]],
-                    names=["doc_id", "n", "f1", "f2", "bitmap", "prefix", "blocks"],
+                    names=["doc_id", "n", "f1", "f2", "bitmap", "prefix"],
                 )
 
     return run
 
 
 def describe(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n, f1, f2, bitmap, prefix, blocks): one row per row of docs with an id."""
-    order, usual = sketch(docs, bits)
-    shared = docs.sparkSession.sparkContext.broadcast((order, blocks_by_level(usual)))
+    """(doc_id, n, f1, f2, bitmap, prefix): one row per row of docs with an id."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, bits))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     return staged(
         rows.mapInArrow(
             _describe(shared, bits),
-            "doc_id long, n long, f1 long, f2 long, bitmap binary, prefix array<long>, blocks array<long>",
+            "doc_id long, n long, f1 long, f2 long, bitmap binary, prefix array<long>",
         ),
         "sets",
     )
@@ -324,36 +314,32 @@ def _dealt(rows: DataFrame, tile: str = "tile") -> DataFrame:
     return rows.repartition(blocks_of(rows.sparkSession), tile).sortWithinPartitions(tile)
 
 
+def prefix_groups(reps: DataFrame) -> DataFrame:
+    """(shingle, blocks, side, members): the classes with a prefix shingle, those of a frequent
+    one dealt in blocks; at most 2 * BLOCK members, but for the chance of the deal."""
+    rows = reps.select("doc_id", F.explode("prefix").alias("shingle"))
+    frequent = rows.groupBy("shingle").count().filter(F.col("count") > 2 * BLOCK)
+    frequent = staged(frequent.select("shingle", F.ceil(F.col("count") / BLOCK).alias("blocks")), "frequent")
+    few = frequent.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(frequent) if few else in_two_stages(frequent), "shingle", "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    return rows.groupBy("shingle", "blocks", "side").agg(F.sort_array(F.collect_set("doc_id")).alias("members"))
+
+
 def candidate_edges(reps: DataFrame) -> DataFrame:
     """(a, b): a spanning forest, per tile, of pairs that bitmaps do not rule out."""
-    entry = F.explode(F.arrays_zip("prefix", "blocks"))
-    rows = reps.select("doc_id", entry.alias("x")).select(
-        "doc_id", F.col("x.prefix").alias("shingle"), F.col("x.blocks").alias("blocks")
-    )
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    groups = rows.groupBy("shingle", "blocks", "side").agg(
-        F.sort_array(F.collect_set("doc_id")).alias("members")
-    )
+    groups = prefix_groups(reps)
     # Most pairs share many shingles: equal groups are one tile.
-    single = (
-        groups.filter("blocks = 1 and size(members) > 1")
-        .select("members")
-        .distinct()
-        .select(F.xxhash64("members").alias("tile"), "members", F.ceil(F.size("members") / BLOCK).alias("parts"))
-    )
-    small = F.size("members") <= 2 * BLOCK
-    whole = single.filter(small).select(
-        "tile", F.lit(0).cast("long").alias("side"), F.explode("members").alias("doc_id")
+    single = groups.filter("blocks = 1 and size(members) > 1").select("members").distinct()
+    whole = single.select(
+        F.xxhash64("members").alias("tile"), F.lit(0).cast("long").alias("side"), F.explode("members").alias("doc_id")
     )
     # Blocks of a larger group: each meets itself and every other one.
-    cut = single.filter(~small).select("tile", "parts", F.explode("members").alias("doc_id"))
-    cut = cut.withColumn("side", F.pmod(F.xxhash64("doc_id"), "parts"))
-    dealt = groups.filter("blocks > 1").select(
-        F.col("shingle").alias("tile"), F.col("blocks").alias("parts"), "side", F.explode("members").alias("doc_id")
-    )
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    split = cut.unionByName(dealt).select("tile", "side", "doc_id", other).select(
-        F.xxhash64("tile", F.least("side", "other"), F.greatest("side", "other")).alias("tile"),
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = groups.filter("blocks > 1").select("shingle", "blocks", "side", F.explode("members").alias("doc_id"))
+    split = dealt.select("shingle", "side", "doc_id", other).select(
+        F.xxhash64("shingle", F.least("side", "other"), F.greatest("side", "other")).alias("tile"),
         "side",
         "doc_id",
     )

@@ -314,6 +314,16 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
+def test_no_row_gathers_the_documents_of_a_frequent_shingle(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_tiles, "BLOCK", 50)
+    line = "one line that stands in each"
+    rng = random.Random(2)
+    rows = [(i, f"{line} {' '.join(f'w{rng.randrange(10**6)}' for _ in range(rng.randrange(3)))}", "en") for i in range(3_000)]
+    sets = jaccard_tiles.describe(docs_of(spark, rows), bits=6)
+    groups = jaccard_tiles.prefix_groups(sets).select(F.size("members").alias("n"), "blocks")
+    assert groups.agg(F.max("n")).first()[0] <= 2 * 50 and groups.agg(F.max("blocks")).first()[0] >= 10
+
+
 @pytest.mark.parametrize("bits", [12, 6])
 def test_jaccard_components_equal_brute_force(spark, monkeypatch, bits):
     """With 6 bits the sketch tells no frequent shingle apart: groups are cut by their size."""

@@ -232,8 +232,8 @@ SELECT conv_id,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
     FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(8 + length(role) + length(text) + len(regexp_extract_all(text,
-    '[<\[]\\*(?:/?s>|/?INST\]|</?SYS>>)')))::BIGINT AS formatted_chars
+  sum(8 + length(role) + 2 * len(regexp_extract_all(role, '[%<\n]')) + length(text)
+    + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|/?INST\]|</?SYS>>)')))::BIGINT AS formatted_chars
 FROM rows
 GROUP BY conv_id
 """

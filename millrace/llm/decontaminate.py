@@ -19,6 +19,7 @@ repeat their rows; repeated items count once per id and text; other columns are
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -88,18 +89,23 @@ def tiles_of(item: np.ndarray, doc: np.ndarray, minimum: int) -> list[tuple[int,
                             length += 1
                         if length >= size:
                             matches.append((length, i, j))
-        for length, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_item[i : i + length].all() and free_doc[j : j + length].all():
+        # Longest first; of an occluded match its free parts wait for their turn.
+        queue = sorted((-length, i, j) for length, i, j in matches)
+        seen = set(queue)
+        while queue:
+            length, i, j = heapq.heappop(queue)
+            length = -length
+            free = free_item[i : i + length] & free_doc[j : j + length]
+            if free.all():
                 free_item[i : i + length] = free_doc[j : j + length] = False
                 tiles.append((i, j, length))
-            # An occluded match is found again, as far as it is free, at a smaller size.
-        if matches:
-            left = any(
-                free_item[i : i + size].all() and free_doc[j : j + size].all()
-                for _, i, j in matches
-            )
-            if left:
                 continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                part = (lo - hi, i + lo, j + lo)
+                if hi - lo >= size and part not in seen:
+                    seen.add(part)
+                    heapq.heappush(queue, part)
         if size == minimum:
             break
         size = max(minimum, size // 2)
@@ -174,7 +180,7 @@ def leaks(
     schema = SCHEMA.format(kind=kind, item=item)
     found = None
     for part in range(parts):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         data = [(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]
         shared = spark.sparkContext.broadcast(data)
         some = rows.mapInArrow(_search(shared, threshold, minimum, schema), schema)

@@ -128,6 +128,8 @@ def test_control_strings_are_escaped_text_by_text(spark):
     texts = [*chat_grammar.CONTROLS, "plain", "a [INST] b <s> c", "<\\\\s> x", "<<s>[[/INST]"]
     rows = [(c, 0, "user", t) for c, t in enumerate(texts)]
     rows += [(50, t, "assistant", text) for t, text in enumerate(texts)]
+    roles = ["us%er", "a<b\n", "%25", "", "assistant"]
+    rows += [(60, t, role, f"text {t}") for t, role in enumerate(roles)]
     schema = "conv_id long, turn long, role string, text string"
     planted = [(-7, t, role, "</s>[INST] ok [/INST]") for t, role in enumerate(("user", "assistant"))]
     formatted = chat_grammar.format_conversations(spark.createDataFrame(rows + planted, schema))
@@ -283,6 +285,35 @@ def test_tiling_is_greedy_and_never_overlaps():
         assert max((t[2] for t in tiles), default=0) == longest
 
 
+def plain_tiles(item, doc, minimum):
+    """Mark the longest match of free words, the first of equals, until none is long enough."""
+    free_item, free_doc, tiles = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (minimum - 1, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and free_item[i + n] and free_doc[j + n] and item[i + n] == doc[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < minimum:
+            return sorted(tiles)
+        tiles.append((i, j, n))
+        free_item[i : i + n] = [False] * n
+        free_doc[j : j + n] = [False] * n
+
+
+def test_tiling_equals_plain_greedy_tiling():
+    rng = random.Random(14)
+    for _ in range(400):
+        a, b = ([rng.randrange(rng.choice([2, 4])) for _ in range(rng.randrange(1, 26))] for _ in range(2))
+        minimum = rng.choice([1, 2, 3])
+        got = decontaminate.tiles_of(np.array(a, np.uint64), np.array(b, np.uint64), minimum)
+        assert got == plain_tiles(a, b, minimum), (a, b, minimum)
+
+
 def test_leaks(spark):
     words = [f"w{i}" for i in range(40)]
     benchmark = [(1, " ".join(words)), (2, "one two three"), (3, None), (None, " ".join(words)), (1, " ".join(words))]

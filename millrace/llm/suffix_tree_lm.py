@@ -15,7 +15,8 @@ context. Words and contexts are counted over all blocks by Spark; divergence tes
 smoothing are joins and sums over contexts. A word's count goes back to the blocks that
 hold the word, and each block adds up its documents. So the shuffles carry a word or
 context once per block and not once per occurrence, and none makes a hot key. The tree is
-broadcast in parts of about PART_ROWS rows, one pass over the blocks each.
+broadcast in parts of about PART_ROWS rows, one pass over the blocks each; the driver and an
+executor hold one part at a time, and the passes grow with the tree.
 
 Defined results: null text counts as empty and is one end; documents with a null id are
 learnt from; repeated rows count as often as they stand; if nothing can be learnt from, all
@@ -333,7 +334,8 @@ def unpack(texts: bytes) -> list[bytes]:
 
 
 def score_blocks(blocks: DataFrame, tree: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(block, at, score) of each document. A pass broadcasts one part of the tree."""
+    """(block, at, score) of each document. A pass broadcasts one part of the tree; of several
+    passes each is written before the next, and its part released."""
     context = blocks.sparkSession.sparkContext
     whole = blocks.filter(F.col("texts").isNotNull()).select("block", "texts")
     parts = max(1, math.ceil(tree.count() / part_rows))
@@ -344,6 +346,9 @@ def score_blocks(blocks: DataFrame, tree: DataFrame, part_rows: int = PART_ROWS)
         arrays = own.select("level", "context", "symbol", "p", "back").toArrow()
         shared = context.broadcast(tuple(c.to_numpy() for c in arrays.columns))
         some = whole.mapInArrow(_score(shared, parts, part), "block string, at long, score double")
+        if parts > 1:
+            some = staged(some, f"scores{part}")
+            shared.destroy()
         scored = some if scored is None else scored.unionByName(some)
     return scored.groupBy("block", "at").agg(F.sum("score").alias("score")) if parts > 1 else scored
 

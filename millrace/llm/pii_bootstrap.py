@@ -304,13 +304,15 @@ def _text_of(spans: Column) -> Column:
     )
 
 
+def _count_of(kind: int) -> Column:
+    # A second parameter of the lambda, even one with a default, would be the span's index.
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def span_digests(spans: DataFrame) -> DataFrame:
     """Counts of base spans by kind, the digest of the base spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"] < 4)
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{name}")
-        for i, name in enumerate(KINDS[:4])
-    ]
+    counts = [_count_of(i).alias(f"n_{name}") for i, name in enumerate(KINDS[:4])]
     return spans.select(
         "doc_id",
         *counts,

@@ -441,6 +441,27 @@ def test_base_spans_equal_brute_force(spark):
     assert pii_bootstrap.find_spans(frame.limit(0)).count() == 0
 
 
+def test_counts_by_kind_equal_brute_force(spark):
+    rng = random.Random(9)
+    parts = ["a@b.c", "x.y@h-1.org", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 30 1234567", "+1 (487) 555-1234", "word"]
+    texts = ["a@b.c, a@b.cc", "1.2.3.4; 5.6.7.8; 9.9.9.9", "+49 30 1234567", "4111 1111 1111 1111 x a@b.c", "+49 30 1234567, +1 (487) 555-1234, 1.2.3.4", "none", "", None]
+    texts += [", ".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300)]
+    # Spans of kind context, which counts leave out, a null id, and an id and a row that come twice.
+    texts += [f"please write to: user{i}@mail.example.com now" for i in range(8)] + ["please write to: AB-99-7712 now"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    rows += [(None, texts[4], "x"), (0, texts[1], "x"), (0, texts[0], "x")]
+    got = pii_bootstrap.span_digests(pii_bootstrap.find_spans(docs_of(spark, rows))).collect()
+    assert next(r.spans for r in got if r.doc_id == len(texts) - 1) == "context:17:27"
+
+    def exact(i, text):
+        base = base_spans(text or "")
+        kinds = Counter(s.split(":")[0] for s in base.split(","))
+        return (i, *[kinds[k] for k in pii_bootstrap.KINDS[:4]], hashlib.sha256(base.encode()).hexdigest())
+
+    columns = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+    assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(exact(i, t) for i, t, _ in rows)
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     rows = [(i, f"please write to: user{i}@mail.example.com now", "en") for i in range(12)]
     rows += [(100, "please write to: AB-99-7712 now", "en"), (101, "we saw 4 big 123456 things", "en")]
